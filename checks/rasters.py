@@ -198,12 +198,23 @@ def _(spark, sf):
     return R.neighbour_count(fx(spark, sf, "fx_skel"))
 
 
-@query("rst13_distance_to_background", """
+FULL = """, d as (select max(r) as h, max(c) as w from fx_mask),
+full_mask as (select a.r, b.c, coalesce(m.mask, 0) as mask from (select unnest(range(0, h + 1)) as r from d) a
+  join (select unnest(range(0, w + 1)) as c from d) b on true left join fx_mask m on m.r = a.r and m.c = b.c)"""
+
+
+def full_mask(spark, sf):
+    """The mask over the whole rectangle; cells past the last order are unset."""
+    g = grid(spark, sf)
+    return RS.burn(fx(spark, sf, "fx_mask").where(F.col("mask") == 1).select("r", "c"), g)
+
+
+@query("rst13_distance_to_background", FULL + """
 select m.r, m.c, round(sqrt(min((m.r - z.r) * (m.r - z.r) + (m.c - z.c) * (m.c - z.c))), 6) as dist
-from fx_mask m join fx_mask z on z.mask = 0 and z.r between m.r - 12 and m.r + 12 and z.c between m.c - 12 and m.c + 12
+from full_mask m join full_mask z on z.mask = 0 and z.r between m.r - 12 and m.r + 12 and z.c between m.c - 12 and m.c + 12
 where m.mask = 1 group by m.r, m.c""")
 def _(spark, sf):
-    return R.distance_to_background(fx(spark, sf, "fx_mask")).select("r", "c", F.round("dist", 6).alias("dist"))
+    return R.distance_to_background(full_mask(spark, sf)).select("r", "c", F.round("dist", 6).alias("dist"))
 
 
 @query("rst15_classify_pixels", NB + """ select r, c, neighbours, case when neighbours = 1 then 'endpoint' when neighbours >= 3 then 'junction'
@@ -291,11 +302,11 @@ f as (select dr, dc, (dr + 0.5e0) / 2 - 0.5e0 as fr, (dc + 0.5e0) / 2 - 0.5e0 as
 k as (select dr, dc, cast(floor(fr) as bigint) + di as r, cast(floor(fc) as bigint) + dj as c,
   (case di when 1 then fr - floor(fr) else 1 - (fr - floor(fr)) end) * (case dj when 1 then fc - floor(fc) else 1 - (fc - floor(fc)) end) as wt
   from f, (values (0), (1)) x(di), (values (0), (1)) y(dj))
-select dr as r, dc as c, round(sum(wt * prob) / sum(wt), 6) as value from k join fx_pix using (r, c) where wt > 0 group by dr, dc""")
+select dr as r, dc as c, round(sum(wt * prob) / sum(wt), 9) as value from k join fx_pix using (r, c) where wt > 0 group by dr, dc""")
 def _(spark, sf):
     g = grid(spark, sf)
     fine = Grid(g.height * 2, g.width * 2, 50.0, 0.0, g.c, 0.0, 50.0, g.f)
-    return RS.align_bilinear(pix(spark, sf, "prob"), g, fine).withColumn("value", F.round("value", 6))
+    return RS.align_bilinear(pix(spark, sf, "prob"), g, fine).withColumn("value", F.round("value", 9))
 
 
 @query("jon10_align_sum", """
@@ -319,12 +330,12 @@ def _(spark, sf):
 
 @query("jon18_rasterize_lines", """
 , g as (select max(r) as h, max(c) as w from fx_pix),
-s as (select a.x as ax, a.y as ay, b.x as bx, b.y as by from fx_trails e join fx_nodes a on a.node_id = e.src join fx_nodes b on b.node_id = e.dst),
-q as (select ax, ay, bx, by, r, c, 250000 + c * 50e0 as px, 2540000 + r * 50e0 as py
-  from (select *, unnest(range(cast(floor((least(ay, by) - 2540000) / 50 - 1) as bigint), cast(ceil((greatest(ay, by) - 2540000) / 50 + 2) as bigint))) as r from s) s1,
-    lateral (select unnest(range(cast(floor((least(ax, bx) - 250000) / 50 - 1) as bigint), cast(ceil((greatest(ax, bx) - 250000) / 50 + 2) as bigint))) as c) z),
-t as (select *, greatest(0e0, least(1e0, ((px - ax) * (bx - ax) + (py - ay) * (by - ay)) / ((bx - ax) * (bx - ax) + (by - ay) * (by - ay)))) as t from q)
-select distinct r, c from t, g where sqrt((px - ax - t * (bx - ax)) * (px - ax - t * (bx - ax)) + (py - ay - t * (by - ay)) * (py - ay - t * (by - ay))) <= 40
+s as (select a.x as x1, a.y as y1, b.x as x2, b.y as y2 from fx_trails e join fx_nodes a on a.node_id = e.src join fx_nodes b on b.node_id = e.dst),
+s1 as (select *, unnest(range(cast(floor((least(y1, y2) - 2540000) / 50 - 1) as bigint), cast(ceil((greatest(y1, y2) - 2540000) / 50 + 2) as bigint))) as r from s),
+s2 as (select *, unnest(range(cast(floor((least(x1, x2) - 250000) / 50 - 1) as bigint), cast(ceil((greatest(x1, x2) - 250000) / 50 + 2) as bigint))) as c from s1),
+q as (select x1, y1, x2, y2, r, c, 250000 + c * 50e0 as px, 2540000 + r * 50e0 as py from s2),
+t as (select *, greatest(0e0, least(1e0, ((px - x1) * (x2 - x1) + (py - y1) * (y2 - y1)) / ((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)))) as t from q)
+select distinct r, c from t, g where sqrt((px - x1 - t * (x2 - x1)) * (px - x1 - t * (x2 - x1)) + (py - y1 - t * (y2 - y1)) * (py - y1 - t * (y2 - y1))) <= 40
   and r between 0 and 2 * h + 1 and c between 0 and 2 * w + 1""")
 def _(spark, sf):
     from netresil.operators.spatial import edge_endpoints

@@ -171,16 +171,17 @@ def _(spark, sf):
     return out.select("id", *[F.round(c, 4).alias(c) for c in out.columns[1:]])
 
 
-META = F.struct(
-    F.lit(80.0).alias("a"), F.lit(0.25).alias("b"), F.lit(250000.0).alias("c"),
-    F.lit(-0.5).alias("d"), F.lit(-80.0).alias("e"), F.lit(2550000.0).alias("f"))
+def _meta():
+    return F.struct(
+        F.lit(80.0).alias("a"), F.lit(0.25).alias("b"), F.lit(250000.0).alias("c"),
+        F.lit(-0.5).alias("d"), F.lit(-80.0).alias("e"), F.lit(2550000.0).alias("f"))
 
 
 @query("prj14_pixel_xy", """
 select r, c, 250000 + 80 * (c + 0.5e0) + 0.25e0 * (r + 0.5e0) as x, 2550000 - 0.5e0 * (c + 0.5e0) - 80 * (r + 0.5e0) as y from fx_pix""")
 def _(spark, sf):
     r, c = F.col("r"), F.col("c")
-    return fx(spark, sf, "fx_pix").select("r", "c", X.pixel_x(META, r, c).alias("x"), X.pixel_y(META, r, c).alias("y"))
+    return fx(spark, sf, "fx_pix").select("r", "c", X.pixel_x(_meta(), r, c).alias("x"), X.pixel_y(_meta(), r, c).alias("y"))
 
 
 HAV = "6371000e0 * 2 * atan2(sqrt(h), sqrt(1 - h))"

@@ -122,6 +122,17 @@ def network_summary(nodes: DataFrame, edges: DataFrame, components: DataFrame) -
     )
 
 
+def break_density(components: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row: ``components, km, density``, breaks per kilometre."""
+    n = components.agg(F.count_distinct("component").alias("components"))
+    km = edges.agg(
+        F.greatest(F.coalesce(F.sum(F.coalesce("length_m", F.lit(1.0))), F.lit(0.0)) / 1000.0, F.lit(0.001)).alias("km")
+    )
+    return n.join(F.broadcast(km)).select(  # two one-row aggregates
+        "components", "km", (F.greatest(F.col("components") - 1, F.lit(0)) / F.col("km")).alias("density")
+    )
+
+
 def quality_report(stages: DataFrame) -> DataFrame:
     """Reduction of break density against the stage named ``before``.
 
