@@ -79,12 +79,15 @@ select c_custkey as point_id,
   cast(2539000 + (c_custkey * 81017) % ((select side from fx_dim) * 100 + 2000) as double) as y
 from {customer}""",
 
-    # trips of up to twelve blocks
+    # trips of up to nine blocks along each axis
     "fx_od": """
-select s_suppkey as od_id, (s_suppkey * 7919) % (select n from fx_dim) as src,
-  ((s_suppkey * 7919) % (select n from fx_dim) + (3 + s_suppkey % 7) * (select side from fx_dim)
-     + 2 + (s_suppkey * 13) % 5) % (select n from fx_dim) as dst
-from {supplier}""",
+select od_id, src,
+  (case when r >= dr then r - dr else r + dr end) * side + (case when c >= dc then c - dc else c + dc end) as dst
+from (select s_suppkey as od_id, (s_suppkey * 7919) % (select n from fx_dim) as src, (select side from fx_dim) as side,
+        cast(floor((s_suppkey * 7919) % (select n from fx_dim) / (select side from fx_dim)) as bigint) as r,
+        (s_suppkey * 7919) % (select n from fx_dim) % (select side from fx_dim) as c,
+        3 + s_suppkey % 7 as dr, 2 + (s_suppkey * 13) % 5 as dc
+      from {supplier}) t""",
 
     # raster bands over the lattice, one pixel per order
     "fx_item": """
