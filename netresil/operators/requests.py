@@ -28,3 +28,21 @@ def split_requests(requests: DataFrame, kind: str, required: list[str]) -> tuple
     """Accepted requests, and rejected ones with their reason."""
     filled = apply_defaults(requests, kind, required)
     return filled.where(F.col("reason") == "ok").drop("reason"), filled.where(F.col("reason") != "ok")
+
+
+def element_at_fraction(path: str, part: int):
+    """The element one ``part``-th along an ordered array."""
+    return F.element_at(path, (F.floor(F.size(path) / part) + 1).cast("int"))
+
+
+def union_runs(runs: dict[str, DataFrame]) -> DataFrame:
+    """Datasets of one shape under a ``run`` tag."""
+    out = None
+    for name, df in runs.items():
+        tagged = df.select(F.lit(name).alias("run"), "*")
+        out = tagged if out is None else out.unionByName(tagged)
+    return out
+
+
+def stack_labels(pos: DataFrame, neg: DataFrame) -> DataFrame:
+    return pos.withColumn("label", F.lit(1)).unionByName(neg.withColumn("label", F.lit(0)))

@@ -96,6 +96,22 @@ def search(od: DataFrame, nodes: DataFrame, adj: DataFrame) -> DataFrame:
             return state.drop("fresh")
 
 
+def search_all(od: DataFrame, adj: DataFrame) -> DataFrame:
+    """Distances from each query's ``src`` to every node: ``(query_id, node, dist)``."""
+    state = cut_lineage(od.select("query_id", F.col("src").alias("node"), F.lit(0.0).alias("dist"), F.lit(True).alias("fresh")))
+    while True:
+        tried = state.where("fresh").join(adj, F.col("node") == F.col("u")).select(
+            "query_id", F.col("v").alias("node"), (F.col("dist") + F.col("w")).alias("dist"), F.lit(1).alias("new")
+        )
+        state = cut_lineage(
+            state.select("query_id", "node", "dist", F.lit(0).alias("new")).unionByName(tried)
+            .groupBy("query_id", "node").agg(F.min(F.struct("dist", "new")).alias("b"))
+            .select("query_id", "node", "b.dist", (F.col("b.new") == 1).alias("fresh"))
+        )
+        if state.where("fresh").limit(1).count() == 0:
+            return state.drop("fresh")
+
+
 def walk_back(od: DataFrame, state: DataFrame) -> DataFrame:
     """Follow predecessors from each target: ``(query_id, back, node)``."""
     hop = state.select("query_id", "node", "pred")
@@ -263,8 +279,8 @@ def positions(ids: DataFrame, column: str = "node_id") -> DataFrame:
     from pyspark.sql import Window
 
     before = F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = totals.select("_p", F.coalesce(before, F.lit(0)).alias("_o"))  # one row per partition
+    offsets = totals.select("_p", F.coalesce(before, F.lit(0)).alias("_off"))  # one row per partition
     local = F.row_number().over(Window.partitionBy("_p").orderBy(column)) - 1
     return parts.withColumn("_i", local).join(F.broadcast(offsets), "_p").select(
-        column, (F.col("_o") + F.col("_i")).cast("bigint").alias("pos")
+        column, (F.col("_off") + F.col("_i")).cast("bigint").alias("pos")
     )
