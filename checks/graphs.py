@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from checks.fixtures import fx, table
 from checks.registry import query
 from checks.scalar import LADDER
+from checks.spatial import HIT
 from netresil.functions import expressions as X
 from netresil.operators import components as C
 from netresil.operators import graph as GR
@@ -281,10 +282,14 @@ def _(spark, sf):
     return IM.impact(inc, nodes(spark, sf), fx(spark, sf, "fx_edges"), people)
 
 
-@query("grf15b_failed_segments")
+@query("grf15b_failed_segments", HIT + f"""
+, a as (select src, dst, {LADDER} as cong from fx_multi where edge_key = 0),
+h as (select incident_id, hit.src, hit.dst, hit.length_m, least(0.99e0, hit.length_m / 500 * 0.4e0 + cong / 2 * 0.6e0) as raw from hit join a on a.src = hit.src and a.dst = hit.dst)
+select incident_id, 'SEG-' || src || '-' || dst as id, length_m,
+  case when round_even(raw, 3) > 0.75e0 then 'CRITICAL' when round_even(raw, 3) > 0.5e0 then 'HIGH' else 'MEDIUM' end as criticality from h""")
 def _(spark, sf):
     e = fx(spark, sf, "fx_multi").withColumn("congestion_level", X.road_class_congestion(F.col("highway")))
-    return IM.failed_segments(fx(spark, sf, "fx_incidents"), nodes(spark, sf), e)
+    return IM.failed_segments(fx(spark, sf, "fx_incidents"), nodes(spark, sf), e).select("incident_id", "id", "length_m", "criticality")
 
 
 def requests(spark, sf):
@@ -295,6 +300,29 @@ def requests(spark, sf):
         (F.col("x") + 60).alias("ex"), (F.col("y") - off).alias("ey"))
 
 
-@query("grf16_route_comparison")
+NEAR = """, ask as (select incident_id as query_id, x, y, radius_m, x as sx, y + radius_m + 150 as sy, x + 60 as ex, y - radius_m - 150 as ey from fx_incidents),
+near_s as (select query_id, node_id, row_number() over (partition by query_id order by sqrt((n.x - sx) * (n.x - sx) + (n.y - sy) * (n.y - sy)), node_id) as k from ask
+  join fx_nodes n on n.x between sx - 500 and sx + 500 and n.y between sy - 500 and sy + 500 and sqrt((n.x - sx) * (n.x - sx) + (n.y - sy) * (n.y - sy)) <= 500),
+near_e as (select query_id, node_id, row_number() over (partition by query_id order by sqrt((n.x - ex) * (n.x - ex) + (n.y - ey) * (n.y - ey)), node_id) as k from ask
+  join fx_nodes n on n.x between ex - 500 and ex + 500 and n.y between ey - 500 and ey + 500 and sqrt((n.x - ex) * (n.x - ex) + (n.y - ey) * (n.y - ey)) <= 500),
+q as (select a.query_id, a.x as zx, a.y as zy, radius_m as zr, s.node_id as src, e.node_id as dst, t.x as tx, t.y as ty from ask a left join near_s s on s.query_id = a.query_id and s.k = 1
+  left join near_e e on e.query_id = a.query_id and e.k = 1 left join fx_nodes t on t.node_id = e.node_id),
+normal(query_id, node, dist) using key (query_id, node) as (
+  select query_id, src, 0e0 from q where src is not null and dst is not null union
+  select w.query_id, j.b, min(w.dist + j.w) from normal w join adj j on j.a = w.node join q on q.query_id = w.query_id join fx_nodes n on n.node_id = j.b
+    left join recurring.normal o on o.query_id = w.query_id and o.node = j.b left join recurring.normal g on g.query_id = w.query_id and g.node = q.dst
+  where w.dist + j.w < coalesce(o.dist, 1e18) and w.dist + j.w + 0.09e0 * sqrt((n.x - q.tx) * (n.x - q.tx) + (n.y - q.ty) * (n.y - q.ty)) <= coalesce(g.dist, 1e18) + 1e-6
+  group by w.query_id, j.b)"""
+
+
+@query("grf16_normal_route", ADJ.format(w="travel_time", edges=STREETS) + NEAR + """
+select q.query_id, q.src, q.dst, case when q.src is null or q.dst is null then 'error' when b.dist is null then 'no_path' else 'success' end as normal_status,
+  round(b.dist, 4) as normal_cost from q left join normal b on b.query_id = q.query_id and b.node = q.dst""", recursive=True)
+def _(spark, sf):
+    out = IM.compare_routes(requests(spark, sf), nodes(spark, sf), streets(spark, sf), 500.0)
+    return out.select("query_id", "src", "dst", "normal_status", F.round("normal_cost", 4).alias("normal_cost"))
+
+
+@query("grf16b_route_comparison")
 def _(spark, sf):
     return IM.compare_routes(requests(spark, sf), nodes(spark, sf), streets(spark, sf), 500.0)

@@ -92,28 +92,28 @@ def exact_percentiles(df: DataFrame, value: str, ps: Sequence[float], keys: Sequ
     so one raster may span the whole cluster.
     """
     keys = list(keys)
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("k"))
-    counts = cut_lineage(counts.repartitionByRange(*keys, "v").withColumn("_p", F.spark_partition_id()))
-    part = counts.groupBy(*keys, "_p").agg(F.sum("k").alias("_k"))
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_k"))
+    counts = cut_lineage(counts.repartitionByRange(*keys, "_v").withColumn("_p", F.spark_partition_id()))
+    part = counts.groupBy(*keys, "_p").agg(F.sum("_k").alias("_s"))
     before = Window.partitionBy(*keys).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*keys)
     part = part.select(
-        *keys, "_p", F.coalesce(F.sum("_k").over(before), F.lit(0)).alias("_o"), F.sum("_k").over(whole).alias("n")
+        *keys, "_p", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_o"), F.sum("_s").over(whole).alias("_n")
     )
-    local = Window.partitionBy("_p", *keys).orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counts.join(part, ["_p", *keys]).withColumn("hi", F.sum("k").over(local) + F.col("_o"))
-    ranked = ranked.withColumn("lo", F.col("hi") - F.col("k"))
-    aggs = [F.max("n").alias("n")]
+    local = Window.partitionBy("_p", *keys).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = counts.join(part, ["_p", *keys]).withColumn("_hi", F.sum("_k").over(local) + F.col("_o"))
+    ranked = ranked.withColumn("_lo", F.col("_hi") - F.col("_k"))
+    aggs = [F.max("_n").alias("_n")]
     for i, p in enumerate(ps):
-        at = (F.col("n") - 1) * F.lit(float(p))
+        at = (F.col("_n") - 1) * F.lit(float(p))
         for tag, rank in (("a", F.floor(at)), ("b", F.ceil(at))):
-            aggs.append(F.max(F.when((rank >= F.col("lo")) & (rank < F.col("hi")), F.col("v"))).alias(f"{tag}{i}"))
+            aggs.append(F.max(F.when((rank >= F.col("_lo")) & (rank < F.col("_hi")), F.col("_v"))).alias(f"_{tag}{i}"))
     got = ranked.groupBy(*keys).agg(*aggs)
     out = [
-        (F.col(f"a{i}") + (F.col(f"b{i}") - F.col(f"a{i}")) * ((F.col("n") - 1) * F.lit(float(p)) - F.floor((F.col("n") - 1) * F.lit(float(p))))).alias(f"p{i}")
+        (F.col(f"_a{i}") + (F.col(f"_b{i}") - F.col(f"_a{i}")) * ((F.col("_n") - 1) * F.lit(float(p)) - F.floor((F.col("_n") - 1) * F.lit(float(p))))).alias(f"p{i}")
         for i, p in enumerate(ps)
     ]
-    return got.select(*keys, *out, F.col("n").cast("bigint").alias("n"))
+    return got.select(*keys, *out, F.col("_n").cast("bigint").alias("n"))
 
 
 def _with_bounds(df: DataFrame, bounds: DataFrame, keys: list[str]) -> DataFrame:

@@ -1,9 +1,11 @@
 """Many shortest paths at once, as rounds of joins keyed by (query, node).
 
-Each round relaxes the edges of every query's frontier. A query never follows
-an edge that cannot end up below the best cost known for its own target: the
-straight line left to go, times the smallest cost per metre found in the
-edges, is a lower bound whatever the weights, so results are exact.
+A cheap search from both ends first finds the cost of some path per query, and
+drops queries that have none. Then each round relaxes the edges of every
+query's frontier. A query never follows an edge that cannot end up below the
+best cost known for its own target: the straight line left to go, times the
+smallest cost per metre found in the edges, is a lower bound whatever the
+weights, so results are exact.
 """
 
 from __future__ import annotations
@@ -59,6 +61,42 @@ def _open_edge() -> Column:
     return F.col("zr").isNull() | (d > F.col("zr"))
 
 
+def probe(od: DataFrame, adj: DataFrame) -> DataFrame:
+    """Which queries have a path, and a cost one of their paths does not exceed.
+
+    Both ends grow outwards hop by hop. A query is settled when the two sides
+    meet, at the cost of the path through the meeting node, or when one side
+    has nowhere left to go: a target cut off in a pocket is found out after
+    the pocket's few nodes instead of after the whole network.
+    """
+    side = lambda c, s: od.select("query_id", F.lit(s).alias("side"), F.col(c).alias("node"), F.lit(0.0).alias("dist"))
+    zones = od.select("query_id", "zx", "zy", "zr")
+    front = cut_lineage(side("src", 0).unionByName(side("dst", 1)))
+    seen = front
+    met = None
+    rounds = 0
+    while True:
+        new = cut_lineage(
+            front.join(zones, "query_id").join(adj, F.col("node") == F.col("u")).where(_open_edge())
+            .groupBy("query_id", "side", F.col("v").alias("node")).agg(F.min(F.col("dist") + F.col("w")).alias("dist"))
+            .join(seen.select("query_id", "side", "node"), ["query_id", "side", "node"], "left_anti")
+        )
+        seen = seen.unionByName(new)
+        other = seen.select("query_id", (1 - F.col("side")).alias("side"), "node", F.col("dist").alias("back"))
+        hits = new.join(other, ["query_id", "side", "node"]).groupBy("query_id").agg(F.min(F.col("dist") + F.col("back")).alias("bound"))
+        hits = cut_lineage(hits)
+        met = hits if met is None else met.unionByName(hits)
+        both = new.groupBy("query_id").agg(F.count_distinct("side").alias("sides")).where(F.col("sides") == 2)
+        alive = both.join(hits, "query_id", "left_anti").select("query_id")
+        front = new.join(alive, "query_id", "left_semi")
+        if front.limit(1).count() == 0:
+            return cut_lineage(met)
+        seen = seen.join(alive, "query_id", "left_semi")
+        rounds += 1
+        if rounds % 4 == 0:
+            seen, met = cut_lineage(seen), cut_lineage(met)
+
+
 def search(od: DataFrame, nodes: DataFrame, adj: DataFrame) -> DataFrame:
     """``od(query_id, src, dst[, zx, zy, zr])`` -> ``(query_id, node, dist, pred)``."""
     rate = _cost_per_metre(adj)
@@ -68,6 +106,7 @@ def search(od: DataFrame, nodes: DataFrame, adj: DataFrame) -> DataFrame:
             od = od.withColumn(c, none)
     goal = nodes.select(F.col("node_id").alias("dst"), F.col("x").alias("tx"), F.col("y").alias("ty"))
     od = cut_lineage(od.join(goal, "dst").select("query_id", "src", "dst", "tx", "ty", "zx", "zy", "zr"))
+    od = cut_lineage(od.join(probe(od, adj), "query_id"))
     state = cut_lineage(od.select(
         "query_id", F.col("src").alias("node"), F.lit(0.0).alias("dist"),
         F.lit(None).cast("bigint").alias("pred"), F.lit(True).alias("fresh"),
@@ -76,10 +115,10 @@ def search(od: DataFrame, nodes: DataFrame, adj: DataFrame) -> DataFrame:
         best = state.join(od.select("query_id", F.col("dst").alias("node")), ["query_id", "node"]).select(
             "query_id", F.col("dist").alias("best")
         )
-        rules = od.drop("src").join(best, "query_id", "left")
+        rules = od.drop("src").join(best, "query_id", "left").withColumn("best", F.least("best", "bound"))
         dist = F.col("dist") + F.col("w")
         left = norm2(F.col("vx") - F.col("tx"), F.col("vy") - F.col("ty")) * F.lit(rate)
-        hope = F.col("best").isNull() | (dist + left <= F.col("best") * (1 + 1e-12))
+        hope = dist + left <= F.col("best") * (1 + 1e-9)
         tried = (
             state.where("fresh").join(rules, "query_id")
             .join(adj, F.col("node") == F.col("u"))

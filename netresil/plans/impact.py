@@ -225,12 +225,13 @@ def compare_routes(requests: DataFrame, nodes: DataFrame, edges: DataFrame, max_
     adj = adjacency(nodes, edges, "travel_time")
 
     def metrics(od, tag):
-        _, paths = shortest_paths(od, nodes, edges, "travel_time", adj)
+        od = cut_lineage(od)
+        costs, paths = shortest_paths(od.where(F.col("src") != F.col("dst")), nodes, edges, "travel_time", adj)
         same = od.where(F.col("src") == F.col("dst")).select(
             "query_id", F.lit(0.0).alias("distance_km"), F.lit(0.0).alias("estimated_time_mins"),
-            F.lit(0.0).alias("avg_congestion_multiplier"), F.lit(1).cast("bigint").alias("segments_count"),
+            F.lit(0.0).alias("avg_congestion_multiplier"), F.lit(1).cast("bigint").alias("segments_count"), F.lit(0.0).alias("cost"),
         )
-        got = route_metrics(paths, edges).unionByName(same)
+        got = route_metrics(paths, edges).join(costs, "query_id").unionByName(same)
         return cut_lineage(got.select("query_id", *[F.col(c).alias(f"{tag}_{c}") for c in got.columns[1:]]))
 
     normal = metrics(ok, "normal")
@@ -257,7 +258,7 @@ def compare_routes(requests: DataFrame, nodes: DataFrame, edges: DataFrame, max_
         F.when(unsnapped, "error").when(has("safe"), "success").otherwise("isolated").alias("safe_status"),
         F.when(~unsnapped & ~has("safe"), F.lit(ISOLATED)).alias("message"),
         "note",
-        *[F.col(f"{t}_{c}") for t in ("normal", "safe") for c in ("distance_km", "estimated_time_mins", "avg_congestion_multiplier", "segments_count")],
+        *[F.col(f"{t}_{c}") for t in ("normal", "safe") for c in ("distance_km", "estimated_time_mins", "avg_congestion_multiplier", "segments_count", "cost")],
         F.bround(F.col("safe_distance_km") - F.col("normal_distance_km"), 2).alias("detour_km"),
         F.bround(F.col("safe_estimated_time_mins") - F.col("normal_estimated_time_mins"), 1).alias("detour_mins"),
     )
