@@ -32,12 +32,12 @@ def betweenness(nodes: DataFrame, edges: DataFrame, k: int, weight: str = "lengt
         d1.join(adj.select("u", "v", "w"), "u").join(d2, ["query_id", "v"])
         .where((F.col("w") > 0) & (gap <= TIE * (1 + F.col("dv")))).select("query_id", "u", "v")
     )
-    sigma = _flow(dag, dist, "u", "v", lambda d: d.select("query_id", "node", F.lit(1.0).alias("val")), lambda: F.col("val"), None)
+    sigma = _flow(dag, dist, "u", "v", lambda d: d.select("query_id", "node", F.lit(1.0).alias("val")), lambda: F.col("val"))
     sigma = cut_lineage(sigma)
     su = sigma.select("query_id", F.col("node").alias("u"), F.col("val").alias("su"))
     sv = sigma.select("query_id", F.col("node").alias("v"), F.col("val").alias("sv"))
     back = cut_lineage(dag.join(su, ["query_id", "u"]).join(sv, ["query_id", "v"]).select("query_id", "u", "v", (F.col("su") / F.col("sv")).alias("share")))
-    delta = _flow(back, dist, "v", "u", lambda d: d.select("query_id", "node", F.lit(0.0).alias("val")), lambda: F.col("share") * (1 + F.col("val")), 0.0)
+    delta = _flow(back, dist, "v", "u", lambda d: d.select("query_id", "node", F.lit(0.0).alias("val")), lambda: F.col("share") * (1 + F.col("val")))
     total = delta.where(F.col("query_id") != F.col("node")).groupBy(F.col("node").alias("node_id")).agg(F.sum("val").alias("b"))
     scale = (n / k) / ((n - 1) * (n - 2)) if n > 2 else 0.0
     return nodes.select("node_id").join(total, "node_id", "left").select(
@@ -45,28 +45,28 @@ def betweenness(nodes: DataFrame, edges: DataFrame, k: int, weight: str = "lengt
     )
 
 
-def _flow(dag: DataFrame, dist: DataFrame, tail: str, head: str, start, send, base: float | None) -> DataFrame:
+def _flow(dag: DataFrame, dist: DataFrame, tail: str, head: str, start, send) -> DataFrame:
     """Values pushed along ``tail -> head`` once all inputs of a tail are known.
 
     ``start`` gives the value of nodes without inputs; others sum what they
-    are sent (plus ``base``).
+    are sent.
     """
     waits = dag.groupBy("query_id", F.col(head).alias("node")).agg(F.count(F.lit(1)).alias("wait"))
     ready = start(dist.join(waits, ["query_id", "node"], "left_anti"))
     front = cut_lineage(ready)
     done = front
-    pending = cut_lineage(waits.withColumn("acc", F.lit(0.0)))
+    pending = waits.withColumn("acc", F.lit(0.0))
     rounds = 0
     while front.limit(1).count() > 0:
         sent = front.withColumnRenamed("node", tail).join(dag, ["query_id", tail]).groupBy("query_id", F.col(head).alias("node")).agg(
             F.count(F.lit(1)).alias("got"), F.sum(send()).alias("add")
         )
-        pending = cut_lineage(pending.join(sent, ["query_id", "node"], "left").select(
+        # one table per round holds both those now complete and those still waiting
+        both = cut_lineage(pending.join(sent, ["query_id", "node"], "left").select(
             "query_id", "node", (F.col("wait") - F.coalesce("got", F.lit(0))).alias("wait"), (F.col("acc") + F.coalesce("add", F.lit(0.0))).alias("acc")
         ))
-        front = pending.where(F.col("wait") == 0).select("query_id", "node", F.col("acc").alias("val"))
-        front = cut_lineage(front)
-        pending = pending.where(F.col("wait") > 0)
+        front = both.where(F.col("wait") == 0).select("query_id", "node", F.col("acc").alias("val"))
+        pending = both.where(F.col("wait") > 0)
         done = done.unionByName(front)
         rounds += 1
         if rounds % 16 == 0:

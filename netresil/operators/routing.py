@@ -84,7 +84,6 @@ def probe(od: DataFrame, adj: DataFrame) -> DataFrame:
         seen = seen.unionByName(new)
         other = seen.select("query_id", (1 - F.col("side")).alias("side"), "node", F.col("dist").alias("back"))
         hits = new.join(other, ["query_id", "side", "node"]).groupBy("query_id").agg(F.min(F.col("dist") + F.col("back")).alias("bound"))
-        hits = cut_lineage(hits)
         met = hits if met is None else met.unionByName(hits)
         both = new.groupBy("query_id").agg(F.count_distinct("side").alias("sides")).where(F.col("sides") == 2)
         alive = both.join(hits, "query_id", "left_anti").select("query_id")

@@ -234,8 +234,20 @@ def compare_routes(requests: DataFrame, nodes: DataFrame, edges: DataFrame, max_
         got = route_metrics(paths, edges).join(costs, "query_id").unionByName(same)
         return cut_lineage(got.select("query_id", *[F.col(c).alias(f"{tag}_{c}") for c in got.columns[1:]]))
 
-    normal = metrics(ok, "normal")
-    direct = metrics(ok.join(zone, "query_id"), "safe")
+    # normal and safe trips share every round of one search
+    def as_kind(od, kind):
+        return od.select(F.struct("query_id", F.lit(kind).alias("kind")).alias("query_id"), "src", "dst", "zx", "zy", "zr")
+
+    none = F.lit(None).cast("double")
+    both = metrics(
+        as_kind(ok.withColumns({"zx": none, "zy": none, "zr": none}), "normal").unionByName(as_kind(ok.join(zone, "query_id"), "safe")), "any"
+    )
+
+    def of_kind(kind):
+        cols = [F.col(c).alias(c.replace("any_", f"{kind}_")) for c in both.columns[1:]]
+        return both.where(F.col("query_id.kind") == kind).select(F.col("query_id.query_id").alias("query_id"), *cols)
+
+    normal, direct = of_kind("normal"), of_kind("safe")
     stuck = ok.join(direct, "query_id", "left_anti").join(zone, "query_id")
     pair = F.struct("query_id", "end").alias("query_id")
     sources = stuck.withColumn("end", F.lit("s")).select(pair, "src", "zx", "zy", "zr").unionByName(
