@@ -69,31 +69,36 @@ def probe(od: DataFrame, adj: DataFrame) -> DataFrame:
     has nowhere left to go: a target cut off in a pocket is found out after
     the pocket's few nodes instead of after the whole network.
     """
-    side = lambda c, s: od.select("query_id", F.lit(s).alias("side"), F.col(c).alias("node"), F.lit(0.0).alias("dist"))
+    none = F.lit(None).cast("double")
     zones = od.select("query_id", "zx", "zy", "zr")
-    front = cut_lineage(side("src", 0).unionByName(side("dst", 1)))
-    seen = front
-    met = None
-    rounds = 0
+    # d0, d1: cost from either end; f0, f1: reached in the last round
+    state = cut_lineage(
+        od.select("query_id", F.col("src").alias("node"), F.lit(0.0).alias("d0"), none.alias("d1"), F.lit(True).alias("f0"), F.lit(False).alias("f1"))
+        .unionByName(od.select(
+            "query_id", F.col("dst").alias("node"), none.alias("d0"), F.lit(0.0).alias("d1"), F.lit(False).alias("f0"), F.lit(True).alias("f1")
+        ))
+    )
     while True:
-        new = cut_lineage(
-            front.join(zones, "query_id").join(adj, F.col("node") == F.col("u")).where(_open_edge())
-            .groupBy("query_id", "side", F.col("v").alias("node")).agg(F.min(F.col("dist") + F.col("w")).alias("dist"))
-            .join(seen.select("query_id", "side", "node"), ["query_id", "side", "node"], "left_anti")
+        status = state.groupBy("query_id").agg(
+            F.min(F.col("d0") + F.col("d1")).alias("bound"), F.max("f0").alias("a0"), F.max("f1").alias("a1")
         )
-        seen = seen.unionByName(new)
-        other = seen.select("query_id", (1 - F.col("side")).alias("side"), "node", F.col("dist").alias("back"))
-        hits = new.join(other, ["query_id", "side", "node"]).groupBy("query_id").agg(F.min(F.col("dist") + F.col("back")).alias("bound"))
-        met = hits if met is None else met.unionByName(hits)
-        both = new.groupBy("query_id").agg(F.count_distinct("side").alias("sides")).where(F.col("sides") == 2)
-        alive = both.join(hits, "query_id", "left_anti").select("query_id")
-        front = new.join(alive, "query_id", "left_semi")
-        if front.limit(1).count() == 0:
-            return cut_lineage(met)
-        seen = seen.join(alive, "query_id", "left_semi")
-        rounds += 1
-        if rounds % 4 == 0:
-            seen, met = cut_lineage(seen), cut_lineage(met)
+        alive = status.where(F.col("bound").isNull() & F.col("a0") & F.col("a1")).select("query_id")
+        if alive.limit(1).count() == 0:
+            return status.where(F.col("bound").isNotNull()).select("query_id", "bound")
+        tried = (
+            state.where(F.col("f0") | F.col("f1")).join(alive, "query_id", "left_semi").join(zones, "query_id")
+            .join(adj, F.col("node") == F.col("u")).where(_open_edge())
+            .select("query_id", F.col("v").alias("node"), none.alias("d0"), none.alias("d1"),
+                    F.when(F.col("f0"), F.col("d0") + F.col("w")).alias("n0"), F.when(F.col("f1"), F.col("d1") + F.col("w")).alias("n1"))
+        )
+        kept = state.select("query_id", "node", "d0", "d1", none.alias("n0"), none.alias("n1"))
+        g = kept.unionByName(tried).groupBy("query_id", "node").agg(
+            F.max("d0").alias("d0"), F.max("d1").alias("d1"), F.min("n0").alias("n0"), F.min("n1").alias("n1")
+        )
+        state = cut_lineage(g.select(
+            "query_id", "node", F.coalesce("d0", "n0").alias("d0"), F.coalesce("d1", "n1").alias("d1"),
+            (F.col("d0").isNull() & F.col("n0").isNotNull()).alias("f0"), (F.col("d1").isNull() & F.col("n1").isNotNull()).alias("f1"),
+        ))
 
 
 def search(od: DataFrame, nodes: DataFrame, adj: DataFrame) -> DataFrame:
