@@ -144,9 +144,11 @@ def _(spark, sf):
 
 
 @query("win03_pick_parallel_edge", """
-select src, dst, arg_min(length_m, edge_key) as length_m, cast(min(edge_key) as int) as edge_key from fx_multi where edge_key <> 0 or src % 3 > 0 group by src, dst""")
+, k as (select src, dst, edge_key + case when highway is null then 1 else 0 end as edge_key, length_m from fx_multi)
+select src, dst, arg_min(length_m, edge_key) as length_m, cast(min(edge_key) as int) as edge_key from k group by src, dst""")
 def _(spark, sf):
-    e = fx(spark, sf, "fx_multi").where((F.col("edge_key") != 0) | (F.col("src") % 3 > 0))
+    # pairs on unclassified streets have no key 0
+    e = fx(spark, sf, "fx_multi").withColumn("edge_key", F.col("edge_key") + F.when(F.col("highway").isNull(), 1).otherwise(0))
     return GR.keyed_edges(e.select("src", "dst", "edge_key", "length_m"))
 
 

@@ -314,7 +314,8 @@ select r, c, round(1 + 4 * least(greatest(pop / p95, 0e0), 1e0), 6) as congestio
 from fx_pix, (select quantile_cont(pop, 0.95) as p95 from fx_pix where pop > 0) q""")
 def _(spark, sf):
     p = fx(spark, sf, "fx_pix")
-    p95 = p.where(F.col("pop") > 0).agg(F.percentile("pop", 0.95).alias("p95"))
+    from netresil.operators.raster import percentile_or_one
+    p95 = percentile_or_one(p, "pop", 0.95).select(F.col("top").alias("p95"))  # one row
     return p.join(F.broadcast(p95)).select("r", "c", F.round(X.congestion_from_density(F.col("pop"), F.col("p95")), 6).alias("congestion"))
 
 
