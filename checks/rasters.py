@@ -152,16 +152,18 @@ def _(spark, sf):
 TILES = """, m as (select max(r) + 1 as height, max(c) + 1 as width from fx_pix),
 o as (select unnest(list_distinct(list_append(range(0, greatest(0, height - 48) + 1, 32), greatest(0, height - 48)))) as r0 from m),
 p as (select unnest(list_distinct(list_append(range(0, greatest(0, width - 48) + 1, 32), greatest(0, width - 48)))) as c0 from m),
-t as (select r0, c0, r, c, prob from fx_pix join o on r >= r0 and r < r0 + 48 join p on c >= c0 and c < c0 + 48)"""
+k as (select r0, c0, a.i as tr, b.i as tc, case when r0 + a.i < height then r0 + a.i else 2 * (height - 1) - r0 - a.i end as r,
+  case when c0 + b.i < width then c0 + b.i else 2 * (width - 1) - c0 - b.i end as c from o, p, m, range(48) a(i), range(48) b(i)),
+t as (select r0, c0, tr, tc, prob from k join fx_pix using (r, c))"""
 
 
-@query("rst08_extract_tiles", TILES + " select r0, c0, count(*) as pixels, round(sum(prob), 4) as total, max((r - r0) * 1000 + c - c0) as last from t group by r0, c0")
+@query("rst08_extract_tiles", TILES + " select r0, c0, count(*) as pixels, round(sum(prob), 4) as total, max(tr * 1000 + tc) as last from t group by r0, c0")
 def _(spark, sf):
     t = R.extract_tiles(pix(spark, sf, "prob"), shape(spark, sf), 48, 16)
     return t.groupBy("r0", "c0").agg(F.count("*").alias("pixels"), F.round(F.sum("value"), 4).alias("total"), F.max(F.col("tr") * 1000 + F.col("tc")).alias("last"))
 
 
-@query("agg14_stitch", TILES + " select r, c, round(least(greatest(avg(prob + (r0 + c0) / 1e3), 0e0), 1e0), 6) as value from t group by r, c")
+@query("agg14_stitch", TILES + " select r0 + tr as r, c0 + tc as c, round(least(greatest(avg(prob + (r0 + c0) / 1e3), 0e0), 1e0), 6) as value from t, m where r0 + tr < height and c0 + tc < width group by 1, 2")
 def _(spark, sf):
     s = shape(spark, sf)
     t = R.extract_tiles(pix(spark, sf, "prob"), s, 48, 16).withColumn("value", F.col("value") + (F.col("r0") + F.col("c0")) / 1000.0)
