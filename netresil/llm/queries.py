@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netresil.llm import decontaminate, token_counts
+from netresil.llm import decontaminate, language, mixing, substrings, syncmers, token_counts
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -26,6 +26,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def remainder(n: int, column: str = "doc_id"):
+    return F.crc32(F.col(column).cast("string")) % n
+
+
+@query("op1_language")
+def op1(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    trees = language.learn(docs.where(remainder(4) != 2))
+    held_out = F.coalesce(remainder(4) == 2, F.lit(False)).alias("held_out")
+    found = language.identify(docs.select("doc_id", held_out, "text"), trees)
+    return found.select("doc_id", "held_out", "lang_pred", "score", "bits_per_byte")
+
+
 @query("op3_decontaminate")
 def op3(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -36,8 +49,26 @@ def op3(spark, sf_dir):
     )
 
 
+@query("op4_substrings")
+def op4(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    done = substrings.remove_repeats(docs)
+    return done.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op5_syncmers")
+def op5(spark, sf_dir):
+    return syncmers.fingerprints(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 @query("op6_token_counts")
 def op6(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     counted = token_counts.token_counts(docs, public_tokenizers.path("byte_bpe_50k.json"))
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
+
+
+@query("op10_mixing")
+def op10(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
