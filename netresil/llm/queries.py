@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netresil.llm import decontaminate, jaccard, language, mixing, substrings, syncmers, token_counts
+from netresil.llm import decontaminate, jaccard, language, mixing, quality, substrings, syncmers, token_counts
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -73,6 +73,15 @@ def op8(spark, sf_dir):
     return jaccard.jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+@query("op9_quality")
+def op9(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    voters = quality.learn(docs, labels.where(remainder(4) != 2))
+    held_out = F.coalesce(remainder(4) == 2, F.lit(False)).alias("held_out")
+    found = quality.score(docs.select("doc_id", held_out, "text"), voters)
+    return found.select("doc_id", "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 @query("op10_mixing")
 def op10(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
