@@ -238,3 +238,12 @@ def identify(texts: DataFrame, trees: Trees, text_col: str = "text") -> DataFram
 
     ddl = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in texts.select(*keep).schema.fields), "lang_pred string, score double, bits_per_byte double"])
     return held.mapInArrow(predict, ddl)
+
+
+def accepted(texts: DataFrame, trees: Trees, text_col: str = "text") -> DataFrame:
+    """The rows of ``texts`` that hold a letter and that their best language
+    codes in less than eight bits per byte, what plain bytes take."""
+    found = identify(texts, trees, text_col)
+    if not trees.languages:
+        return found.where(F.col(text_col).rlike(r"\p{L}")).select(*texts.columns)
+    return found.where((F.col("lang_pred") != UNDETERMINED) & (F.col("bits_per_byte") < 8)).select(*texts.columns)

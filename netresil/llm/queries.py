@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netresil.llm import decontaminate, jaccard, language, mixing, quality, substrings, syncmers, token_counts
+from netresil.llm import decontaminate, jaccard, language, maxent, mixing, quality, substrings, syncmers, token_counts
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -39,6 +39,15 @@ def op1(spark, sf_dir):
     return found.select("doc_id", "held_out", "lang_pred", "score", "bits_per_byte")
 
 
+@query("op2_maxent")
+def op2(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    trained = maxent.train(docs.where(F.coalesce(remainder(5) != 1, F.lit(True))))
+    held_out = F.coalesce(remainder(5) == 1, F.lit(False)).alias("held_out")
+    return maxent.score(docs.select("doc_id", held_out, "text"), trained).select(
+        "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 @query("op3_decontaminate")
 def op3(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
