@@ -20,8 +20,8 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest id of each group of near copies, once."""
-    found = cut_lineage(jaccard.jaccard_components(docs.select("doc_id", "text")))
+    """Keep the document with the smallest id of each group of near copies (five-word shingles, similarity 0.8), once."""
+    found = cut_lineage(jaccard.jaccard_components(docs.select("doc_id", "text"), length=5, percent=80))
     others = found.where("doc_id <> component_id").select("doc_id").distinct()
     kept = docs.join(others, "doc_id", "left_anti").select(*docs.columns)
     repeated = cut_lineage(found.where("doc_id = component_id and n_shingles > 0").groupBy("doc_id").count().where("count > 1").select("doc_id"))
