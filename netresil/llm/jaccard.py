@@ -37,7 +37,8 @@ SHINGLE, PERCENT = 4, 85
 SLOT_BITS = 20
 #: Cost of scanning one inverted list against storing one subset, and the largest boundary considered.
 SCAN_COST, LARGEST_LIGHT = 5, 24
-BITMAP_WORDS = 8
+#: Words of the parity bitmap of every set, and of the wide one of sets beyond ``WIDE_FROM`` shingles.
+BITMAP_WORDS, WIDE_BITS, WIDE_FROM = 8, 13, 512
 
 
 def least_overlap(n: int, m: int, percent: int = PERCENT) -> int:
@@ -140,7 +141,7 @@ def _lists(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
 
 
 def _describe(batches: Iterator[pa.RecordBatch], order: Order, boundary: int, percent: int) -> Iterator[pa.RecordBatch]:
-    """Per text: id, size, digest of the set, parity bitmap, keys under which linked sets meet."""
+    """Per text: id, size, digest of the set, parity bitmaps, keys under which linked sets meet."""
     first_heavy = partners(boundary + 1, percent)[0]
     for batch in chunks(batches, "body"):
         h, bounds = order.sets(batch.column("body"))
@@ -150,6 +151,10 @@ def _describe(batches: Iterator[pa.RecordBatch], order: Order, boundary: int, pe
         bit = m >> np.uint64(55)
         flag = np.uint64(1) << (bit & np.uint64(63))
         bits = np.column_stack([_reduce(np.bitwise_xor, np.where(bit >> np.uint64(6) == k, flag, np.uint64(0)), bounds) for k in range(BITMAP_WORDS)])
+        wide: list = [None] * len(n)
+        for d in np.flatnonzero(n > WIDE_FROM).tolist():
+            odd = np.bincount((m[bounds[d] : bounds[d + 1]] >> np.uint64(64 - WIDE_BITS)).astype(np.int64), minlength=1 << WIDE_BITS) & 1
+            wide[d] = np.packbits(odd.astype(bool)).view(np.int64)
         listed = np.where(n >= max(first_heavy, 1), prefix(n, percent), 0)
         subsets = {}
         for d in np.flatnonzero((n > 0) & (n <= boundary)).tolist():
@@ -171,8 +176,8 @@ def _describe(batches: Iterator[pa.RecordBatch], order: Order, boundary: int, pe
             keys[at[d] + listed[d] : at[d + 1]] = k
         yield pa.RecordBatch.from_arrays([
             batch.column("doc"), pa.array(n.astype(np.int32)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)),
-            _lists(bits.ravel(), np.arange(0, bits.size + 1, BITMAP_WORDS)), _lists(keys, at),
-        ], names=["doc", "n", "d1", "d2", "bits", "keys"])
+            _lists(bits.ravel(), np.arange(0, bits.size + 1, BITMAP_WORDS)), pa.array(wide, pa.list_(pa.int64())), _lists(keys, at),
+        ], names=["doc", "n", "d1", "d2", "bits", "wide", "keys"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch], order: Order) -> Iterator[pa.RecordBatch]:
@@ -181,21 +186,30 @@ def _sets(batches: Iterator[pa.RecordBatch], order: Order) -> Iterator[pa.Record
         yield pa.RecordBatch.from_arrays([batch.column("doc"), _lists(h, bounds)], names=["doc", "shingles"])
 
 
-def _can_link(n: Column, m: Column, a: Column, b: Column, percent: int) -> Column:
-    """Whether sizes and bitmaps leave a link possible: differing bits are differing shingles."""
-    differ = sum((F.bit_count(F.get(a, F.lit(k)).bitwiseXOR(F.get(b, F.lit(k)))) for k in range(BITMAP_WORDS)), F.lit(0))
-    overlap = F.ceil(percent * (n + m) / (100.0 + percent) - 1e-9)
-    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (differ <= n + m - 2 * overlap)
+def _differ(n: Column, m: Column, percent: int) -> Column:
+    """Shingles that two linked sets of these sizes may have on one side only."""
+    return n + m - 2 * F.ceil(percent * (n + m) / (100.0 + percent) - 1e-9)
 
 
-def _linked(pairs: DataFrame, src: DataFrame, order, percent: int) -> DataFrame:
-    """The pairs ``a, b`` whose sets reach the similarity; only texts in a pair are read in full."""
-    wanted = cut_lineage(pairs.select(F.col("a").alias("doc")).unionByName(pairs.select(F.col("b").alias("doc"))).distinct())
+def _can_link(n: Column, m: Column, a: Column, b: Column, percent: int) -> Column:
+    """Whether sizes and bitmaps leave a link possible: differing bits are differing shingles."""
+    bits = sum((F.bit_count(F.get(a, F.lit(k)).bitwiseXOR(F.get(b, F.lit(k)))) for k in range(BITMAP_WORDS)), F.lit(0))
+    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (bits <= _differ(n, m, percent))
+
+
+def _linked(pairs: DataFrame, src: DataFrame, reps: DataFrame, order, percent: int) -> DataFrame:
+    """The pairs ``a, b`` whose sets reach the similarity; only texts in a pair that both bitmaps allow are read in full."""
+    side = lambda x: reps.select(F.col("doc").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "bits", "wide")])
+    near = pairs.join(side("a"), "a").join(side("b"), "b").where(_can_link(F.col("n_a"), F.col("n_b"), F.col("bits_a"), F.col("bits_b"), percent))
+    bits = F.aggregate(F.zip_with("wide_a", "wide_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+    near = near.where(F.coalesce(bits <= _differ(F.col("n_a"), F.col("n_b"), percent), F.lit(True)))
+    near = cut_lineage(near.select("a", "b").distinct())
+    wanted = cut_lineage(near.select(F.col("a").alias("doc")).unionByName(near.select(F.col("b").alias("doc"))).distinct())
     sets = cut_lineage(src.join(wanted, "doc", "left_semi").mapInArrow(lambda b: _sets(b, order.value), "doc bigint, shingles array<bigint>"))
-    both = pairs.join(sets.select(F.col("doc").alias("a"), F.col("shingles").alias("x")), "a").join(
+    both = near.join(sets.select(F.col("doc").alias("a"), F.col("shingles").alias("x")), "a").join(
         sets.select(F.col("doc").alias("b"), F.col("shingles").alias("y")), "b")
     inter = F.size(F.array_intersect("x", "y"))
-    return both.where(100 * inter >= percent * (F.size("x") + F.size("y") - inter)).select("a", "b")
+    return cut_lineage(both.where(100 * inter >= percent * (F.size("x") + F.size("y") - inter)).select("a", "b"))
 
 
 def jaccard_components(texts: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -214,14 +228,14 @@ def jaccard_components(texts: DataFrame, id_col: str = "doc_id", text_col: str =
     counted = src.where("body is not null").mapInArrow(lambda b: _frequent(b, length), "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n"))
     order = sc.broadcast(Order({r["slot"]: r["n"] for r in counted.toLocalIterator()}, length))  # as many slots at most as the table has
     boundary = choose_boundary({n: k for n, k in order.value.sizes.items() if n <= 2 * LARGEST_LIGHT}, percent)
-    ddl = "doc bigint, n int, d1 bigint, d2 bigint, bits array<bigint>, keys array<bigint>"
+    ddl = "doc bigint, n int, d1 bigint, d2 bigint, bits array<bigint>, wide array<bigint>, keys array<bigint>"
     described = cut_lineage(src.mapInArrow(lambda b: _describe(b, order.value, boundary, percent), ddl))
 
     # Equal sets are one: the smallest id stands for them.
     real = described.where(F.col("doc").isNotNull() & (F.col("n") > 0))
     folded = real.groupBy("n", "d1", "d2").agg(F.min("doc").alias("rep"), F.count(F.lit(1)).alias("copies"))
     of = cut_lineage(real.select("doc", "n", "d1", "d2").distinct().join(folded, ["n", "d1", "d2"]).select("doc", "n", "rep", "copies"))
-    reps = cut_lineage(real.join(of.where(F.col("doc") == F.col("rep")).select("doc", "n"), ["doc", "n"]).select("doc", "n", "bits").dropDuplicates(["doc", "n"]))
+    reps = cut_lineage(real.join(of.where(F.col("doc") == F.col("rep")).select("doc", "n"), ["doc", "n"]).select("doc", "n", "bits", "wide").dropDuplicates(["doc", "n"]))
 
     keyed = real.select("doc", "n", F.explode("keys").alias("key"))
     met = keyed.groupBy("key").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").select("key")
@@ -231,9 +245,7 @@ def jaccard_components(texts: DataFrame, id_col: str = "doc_id", text_col: str =
     centre = centre.select("key", (-F.col("c.minus")).alias("centre"), F.col("c.n").alias("centre_n"))
     star = lists.join(centre, "key").where(F.col("doc") != F.col("centre")).where(100 * F.least("n", "centre_n") >= percent * F.greatest("n", "centre_n"))
     star = star.select(F.least("doc", "centre").alias("a"), F.greatest("doc", "centre").alias("b")).distinct()
-    side = lambda x: reps.select(F.col("doc").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}"))
-    star = star.join(side("a"), "a").join(side("b"), "b").where(_can_link(F.col("n_a"), F.col("n_b"), F.col("bits_a"), F.col("bits_b"), percent))
-    links = cut_lineage(_linked(cut_lineage(star.select("a", "b").distinct()), src, order, percent))
+    links = _linked(star, src, reps, order, percent)
     labels = star_labels(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
 
     # What still meets in a list without being connected is compared pair by pair.
@@ -245,7 +257,7 @@ def jaccard_components(texts: DataFrame, id_col: str = "doc_id", text_col: str =
     apart = (F.col("doc_a") < F.col("doc_b")) & (F.col("component_a") != F.col("component_b"))
     fits = _can_link(F.col("n_a"), F.col("n_b"), F.col("bits_a"), F.col("bits_b"), percent)
     pairs = left.join(right, (left["key"] == right["key"]) & apart & fits).select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b")).distinct()
-    more = _linked(cut_lineage(pairs), src, order, percent)
+    more = _linked(pairs, src, reps, order, percent)
     ends = of.groupBy("doc").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high")
     same_id = of.join(ends, "doc").select(F.col("low").alias("a"), F.col("rep").alias("b")).where("a < b")
     joined = star_labels(links.unionByName(more).unionByName(same_id).select(F.col("a").alias("src"), F.col("b").alias("dst")))

@@ -270,6 +270,9 @@ def train(texts: DataFrame, id_col: str = "doc_id", text_col: str = "text", roun
     return model, counts
 
 
+_PARTS = ("__tokens", "__common", "__base", "__part", "__rare")
+
+
 def _score(batches: Iterator[pa.RecordBatch], model: Model, keep: list[str]) -> Iterator[pa.RecordBatch]:
     unit = float(np.log10(model.total + 0.5 * (model.distinct + 1))) if model.total else 0.0
     for batch in chunks(batches, "__body"):
@@ -296,7 +299,7 @@ def _score(batches: Iterator[pa.RecordBatch], model: Model, keep: list[str]) ->
         lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(per_text))).astype(np.int32)), pa.array(t.hashes[rare].view(np.int64)))
         yield pa.RecordBatch.from_arrays([
             *(batch.column(c) for c in keep), pa.array(n.astype(np.int64)), pa.array(n - per_text), pa.array(add(alone) - n * unit), pa.array(add(log)), lists,
-        ], names=[*keep, "n_tokens", "n_common", "base_part", "part", "rare"])
+        ], names=[*keep, *_PARTS])
 
 
 def score(texts: DataFrame, trained: tuple[Model, DataFrame], text_col: str = "text") -> DataFrame:
@@ -314,18 +317,20 @@ def score(texts: DataFrame, trained: tuple[Model, DataFrame], text_col: str = "t
     held = texts.select(*keep, F.col(text_col).alias("__body"))
     shared = texts.sparkSession.sparkContext.broadcast(model)
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in texts.select(*keep).schema.fields)
-    ddl = f"{kept}{', ' if kept else ''}n_tokens bigint, n_common bigint, base_part double, part double, rare array<bigint>"
+    kinds = ("bigint", "bigint", "double", "double", "array<bigint>")
+    ddl = f"{kept}{', ' if kept else ''}" + ", ".join(f"{c} {k}" for c, k in zip(_PARTS, kinds))
     done = held.mapInArrow(lambda b: _score(b, shared.value, keep), ddl)
     # The number is written with its row and so stays with it.
     done = cut_lineage(done.withColumn("__row", F.monotonically_increasing_id()))
     c = F.coalesce("n", F.lit(0))
-    sums = done.select("__row", F.explode("rare").alias("token")).join(
+    sums = done.select("__row", F.explode("__rare").alias("token")).join(
         counts.where(F.col("n") * KNOWN < model.total).select("token", "n"), "token", "left",
-    ).groupBy("__row").agg(F.sum((c > 0).cast("bigint")).alias("seen"), F.sum(F.log10(c + 0.5)).alias("logs"))
-    out = done.drop("rare").join(sums, "__row", "left")
-    logs, some = F.coalesce("logs", F.lit(0.0)), F.lit(model.total > 0)
+    ).groupBy("__row").agg(F.sum((c > 0).cast("bigint")).alias("__seen"), F.sum(F.log10(c + 0.5)).alias("__logs"))
+    out = done.drop("__rare").join(sums, "__row", "left")
+    logs, some = F.coalesce("__logs", F.lit(0.0)), F.lit(model.total > 0)
     return out.select(
-        *keep, "n_tokens", F.when(some, F.col("n_common") + F.coalesce("seen", F.lit(0))).otherwise(0).cast("bigint").alias("n_known"),
-        F.lit(model.total).cast("bigint").alias("train_tokens"), F.when(some, F.col("base_part") + logs).otherwise(0.0).alias("base_score"),
-        F.when(some, F.col("part") + logs).otherwise(0.0).alias("score"),
+        *keep, F.col("__tokens").alias("n_tokens"),
+        F.when(some, F.col("__common") + F.coalesce("__seen", F.lit(0))).otherwise(0).cast("bigint").alias("n_known"),
+        F.lit(model.total).cast("bigint").alias("train_tokens"), F.when(some, F.col("__base") + logs).otherwise(0.0).alias("base_score"),
+        F.when(some, F.col("__part") + logs).otherwise(0.0).alias("score"),
     )

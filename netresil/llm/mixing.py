@@ -66,7 +66,6 @@ def _cuts(sized: DataFrame, plan: DataFrame) -> DataFrame:
     that very key (more than one only when rows are repeated) share ``remains``
     of their ``tied`` words.
     """
-    same = lambda a, b: a["source"].eqNullSafe(b["source"])
     u = (F.conv(F.substring("key", 1, 8), 16, 10).cast("double")) / F.lit(float(1 << 32))
     ranged = sized.join(plan.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).select(
         "source", "key", "size", "rest", F.floor(u * F.col("ranges")).alias("range"),
@@ -83,7 +82,7 @@ def _cuts(sized: DataFrame, plan: DataFrame) -> DataFrame:
         F.col("source").alias("s"), F.col("key").alias("cut_key"), "tied", (F.col("rest") - F.col("reached") + F.col("tied")).alias("remains"),
     )
     return plan.join(cut, F.col("source").eqNullSafe(F.col("s")), "left").select(
-        F.col("source").alias("__source"), "source_size", "target", "rounds", "cut_key", "tied", "remains",
+        F.col("source").alias("__source"), "source_size", "target", *[F.col(c).alias(f"__{c}") for c in ("rounds", "cut_key", "tied", "remains")],
     )
 
 
@@ -116,10 +115,10 @@ def mix(
     cuts = cut_lineage(_cuts(sized, plan))
     docs = texts.select(*keep, word_count(F.col(text_col)).alias("size"), key.alias("__key"))
     last = (
-        F.when(F.col("__key") < F.col("cut_key"), F.col("size"))
-        .when(F.col("__key") == F.col("cut_key"), F.expr("size * remains div greatest(tied, 1)"))
+        F.when(F.col("__key") < F.col("__cut_key"), F.col("size"))
+        .when(F.col("__key") == F.col("__cut_key"), F.expr("size * __remains div greatest(__tied, 1)"))
         .otherwise(0)
     )
     return docs.join(cuts, F.col(source_col).cast("string").eqNullSafe(F.col("__source"))).select(
-        *keep, "size", "source_size", "target", (F.col("rounds") * F.col("size") + F.coalesce(last, F.lit(0))).cast("bigint").alias("taken"),
+        *keep, "size", "source_size", "target", (F.col("__rounds") * F.col("size") + F.coalesce(last, F.lit(0))).cast("bigint").alias("taken"),
     )

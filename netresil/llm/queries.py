@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netresil.llm import decontaminate, jaccard, language, maxent, mixing, quality, substrings, syncmers, token_counts
+from netresil.llm import decontaminate, jaccard, language, maxent, mixing, oracle, quality, substrings, syncmers, token_counts
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -48,7 +48,7 @@ def op2(spark, sf_dir):
         "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
-@query("op3_decontaminate")
+@query("op3_decontaminate", oracle.DECONTAMINATE)
 def op3(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"))
@@ -58,7 +58,7 @@ def op3(spark, sf_dir):
     )
 
 
-@query("op4_substrings")
+@query("op4_substrings", oracle.SUBSTRINGS)
 def op4(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     done = substrings.remove_repeats(docs)
@@ -77,7 +77,7 @@ def op6(spark, sf_dir):
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
 
 
-@query("op8_jaccard_join")
+@query("op8_jaccard_join", oracle.JACCARD)
 def op8(spark, sf_dir):
     return jaccard.jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -91,7 +91,7 @@ def op9(spark, sf_dir):
     return found.select("doc_id", "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
-@query("op10_mixing")
+@query("op10_mixing", oracle.MIXING)
 def op10(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")

@@ -280,8 +280,8 @@ def remove_repeats(texts: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     new = ("n_words", "n_removed", "kept")
     keep = [c for c in texts.columns if c not in new]
-    runs = repeated_runs(texts, id_col, text_col, window).groupBy("doc").agg(F.collect_list(F.struct("start", "stop")).alias("__runs"))
+    runs = repeated_runs(texts, id_col, text_col, window).groupBy(F.col("doc").alias("__doc")).agg(F.collect_list(F.struct("start", "stop")).alias("__runs"))
     held = texts.select(*keep, F.col(text_col).alias("__body"))
-    joined = held.join(runs, F.col(id_col).cast("bigint") == F.col("doc"), "left").select(*keep, "__body", "__runs")
+    joined = held.join(runs, F.col(id_col).cast("bigint") == F.col("__doc"), "left").select(*keep, "__body", "__runs")
     ddl = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in texts.select(*keep).schema.fields), "n_words bigint, n_removed bigint, kept string"])
     return joined.mapInArrow(lambda b: _cut(b, keep, window), ddl)
