@@ -237,9 +237,9 @@ def jaccard_components(texts: DataFrame, id_col: str = "doc_id", text_col: str =
     of = cut_lineage(real.select("doc", "n", "d1", "d2").distinct().join(folded, ["n", "d1", "d2"]).select("doc", "n", "rep", "copies"))
     reps = cut_lineage(real.join(of.where(F.col("doc") == F.col("rep")).select("doc", "n"), ["doc", "n"]).select("doc", "n", "bits", "wide").dropDuplicates(["doc", "n"]))
 
-    keyed = real.select("doc", "n", F.explode("keys").alias("key"))
-    met = keyed.groupBy("key").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").select("key")
-    lists = cut_lineage(keyed.join(met, "key").join(of, ["doc", "n"]).select("key", F.col("rep").alias("doc"), "n", "copies").distinct())
+    keyed = real.select("doc", F.explode("keys").alias("key"))
+    met = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("key")
+    lists = cut_lineage(keyed.join(met, "key").join(of, "doc").select("key", F.col("rep").alias("doc"), "n", "copies").distinct())
 
     centre = lists.groupBy("key").agg(F.max(F.struct("copies", (-F.col("doc")).alias("minus"), "n")).alias("c"), F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high")
     centre = centre.select("key", (-F.col("c.minus")).alias("centre"), F.col("c.n").alias("centre_n"))
