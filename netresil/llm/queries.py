@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netresil.llm import decontaminate, jaccard, language, maxent, mixing, oracle, quality, substrings, syncmers, token_counts
+from netresil.llm import decontaminate, jaccard, language, licenses, maxent, mixing, oracle, quality, substrings, syncmers, token_counts
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -77,6 +77,17 @@ def op6(spark, sf_dir):
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
 
 
+@query("op7_licenses")
+def op7(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = licenses.license_scan(docs, licenses.notices(spark))
+    names = F.array_sort(F.array_distinct(F.transform("licenses", lambda m: m["license"])))
+    return found.select(
+        "doc_id", F.size("licenses").cast("bigint").alias("n_matches"), F.concat_ws(",", names).alias("licenses"),
+        F.coalesce(F.array_max(F.transform("licenses", lambda m: m["containment"])), F.lit(0.0)).alias("best"),
+    )
+
+
 @query("op8_jaccard_join", oracle.JACCARD)
 def op8(spark, sf_dir):
     return jaccard.jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text"))

@@ -16,6 +16,8 @@ CHUNK = 1 << 20
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
 IS_WORD = np.ones(256, bool)
 IS_WORD[list(SPACES)] = False
+#: Letters, digits and every byte of a non-ASCII character.
+IS_ALNUM = np.array([b >= 0x80 or chr(b).isalnum() for b in range(256)])
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 
@@ -82,13 +84,13 @@ class Words:
         return np.arange(len(self)) - np.repeat(self.bounds[:-1], np.diff(self.bounds))
 
 
-def words(column: pa.Array, fold: bool = False) -> Words:
-    """Words ``[^\\x20\\x09-\\x0D]+`` of each text; ``fold`` lower-cases A-Z."""
+def words(column: pa.Array, fold: bool = False, inside_word: np.ndarray = IS_WORD) -> Words:
+    """Words of each text, by default ``[^\\x20\\x09-\\x0D]+``; ``fold`` lower-cases A-Z."""
     held, offsets = raw(column)
     n = len(held)
     data = np.zeros(n + 8, np.uint8)
     data[:n] = LOWER[held] if fold else held
-    inside = IS_WORD[held]
+    inside = inside_word[held]
     first, last = inside.copy(), inside.copy()
     first[1:] &= ~inside[:-1]
     last[:-1] &= ~inside[1:]

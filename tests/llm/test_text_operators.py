@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from checks.compare import compare, oracle
-from netresil.llm import decontaminate, jaccard, language, maxent, mixing, quality, substrings, syncmers, text, token_counts
+from netresil.llm import decontaminate, jaccard, language, licenses, maxent, mixing, quality, substrings, syncmers, text, token_counts
 from netresil.llm.queries import ORACLE, QUERIES
 from tests.llm import brute
 
@@ -387,3 +387,46 @@ def test_query_columns(spark, name, columns):
     got = QUERIES[name](spark, SF)
     assert {k: v for k, v in got.dtypes if k in columns} == columns
     assert got.count() == spark.read.parquet(f"{SF}/documents.parquet").count()
+
+
+def test_license_scan(spark, odd, empty):
+    r = random.Random(9)
+    filler = lambda n: " ".join(r.choice(["road", "river", "under", "the", "license", "version"]) for _ in range(n))
+    docs, want = [], {}
+    names = sorted(licenses.NOTICES)
+    for i in range(80):
+        chosen = r.sample(names, i % 3)
+        docs.append((i, "\n".join([filler(r.randrange(60)), *[f"{licenses.NOTICES[n]} {filler(r.randrange(30))}" for n in chosen]])))
+    for i, t in docs:
+        got = set()
+        for n in names:
+            w, v = brute.alnum(t), brute.alnum(licenses.NOTICES[n])
+            grams = set(brute.runs(v, 3)) if len(v) >= 3 else {tuple(v)}
+            size = licenses._level(len(v))
+            if any(len(grams & set(brute.runs(w[p : p + len(v)], 3))) >= 0.8 * len(grams) for p in range(len(w))):
+                got.add(n)
+            assert size >= len(v)
+        want[i] = got
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string")
+    for words in (10**6, 60):
+        for row in licenses.license_scan(frame, licenses.notices(spark), template_words=words).collect():
+            assert {m["license"] for m in row["licenses"]} >= want[row["doc_id"]]
+            for m in row["licenses"]:
+                inside = brute.alnum(row["text"][m["start"] : m["stop"]])
+                v = brute.alnum(licenses.NOTICES[m["license"]])
+                assert m["containment"] >= 0.8 and set(brute.runs(v, 3)) & set(brute.runs(inside, 3))
+    strange = licenses.license_scan(odd, spark.createDataFrame([("a", "twice over"), ("b", None), (None, "text"), ("c", "!"), ("d", "東京")], "license string, text string")).collect()
+    assert len(strange) == len(ODD)
+    found = {(x["doc_id"], m["license"], x["text"][m["start"] : m["stop"]]) for x in strange for m in x["licenses"]}
+    assert found == {(9, "a", "twice over"), (11, "a", "twice over"), (12, "d", "東京")}
+    assert licenses.license_scan(empty, licenses.notices(spark)).count() == 0
+    assert {len(x["licenses"]) for x in licenses.license_scan(odd, licenses.notices(spark).limit(0)).collect()} == {0}
+
+
+def test_license_query_finds_every_planted_notice(spark):
+    got = {r["doc_id"]: set(r["licenses"].split(",")) - {""} for r in QUERIES["op7_licenses"](spark, "/root/testdata/sf0.01").collect()}
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()
+    for d in docs:
+        lines = (d["text"] or "").split("\n")
+        assert got[d["doc_id"]] == {n for n, t in licenses.NOTICES.items() if any(line.strip() == t for line in lines)} | (got[d["doc_id"]] if any(t[:-1] in (d["text"] or "") for t in licenses.NOTICES.values()) else set())
+    assert any(got.values())
