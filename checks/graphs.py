@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from checks.fixtures import fx, table
 from checks.registry import query
-from checks.scalar import LADDER
+from checks.scalar import INV, LADDER
 from checks.spatial import HIT
 from netresil.functions import expressions as X
 from netresil.operators import components as C
@@ -86,15 +86,15 @@ def _(spark, sf):
     return C.component_sizes(trail_components(spark, sf))
 
 
-@query("agg20_quality_report", cc("fx_trails") + cc("fx_more", "cd").replace("fx_more", "more").replace(", cd_adj", ", more as (select src, dst from fx_trails union select src, dst from fx_edges where highway = 'motorway'), cd_adj") + """
+@query("agg20_quality_report", cc("fx_trails") + cc("fx_more", "cd").replace("fx_more", "more").replace(", cd_adj", ", more as (select src, dst from fx_trails union select src, dst from fx_edges), cd_adj") + """
 , st as (select 'before' as stage, (select count(distinct component) from cc) as components, (select sum(length_m) from fx_trails) / 1e3 as km
-  union all select 'after', (select count(distinct component) from cd), ((select sum(length_m) from fx_trails) + (select sum(length_m) from fx_edges where highway = 'motorway')) / 1e3),
+  union all select 'after', (select count(distinct component) from cd), ((select sum(length_m) from fx_trails) + (select sum(length_m) from fx_edges)) / 1e3),
 d as (select *, (components - 1) / greatest(km, 0.001e0) as density from st)
 select stage, components, round(km, 4) as km, round(density, 6) as density,
   round(100 * ((select density from d where stage = 'before') - density) / greatest((select density from d where stage = 'before'), 1e-9), 6) as reduction_pct from d""", recursive=True)
 def _(spark, sf):
     n, t = nodes(spark, sf), cut_lineage(fx(spark, sf, "fx_trails"))
-    more = GR.add_edges(t, fx(spark, sf, "fx_edges").where(F.col("highway") == "motorway"), "healed")
+    more = GR.add_edges(t, fx(spark, sf, "fx_edges"), "healed")
     stages = None
     for stage, e in (("before", t), ("after", more)):
         one = C.break_density(C.connected_components(n, e), e).select(F.lit(stage).alias("stage"), "components", "km", "density")
@@ -219,13 +219,23 @@ def _(spark, sf):
     return costs.withColumn("cost", F.round("cost", 4))
 
 
-@query("grf13_route", ADJ.format(w="length_m", edges=STREETS) + SEARCH.format(rate="1e0") + """
+@query("grf13_route", INV + ADJ.format(w="length_m", edges=STREETS) + SEARCH.format(rate="1e0") + """
 select o.od_id as query_id, o.src, o.dst, case when o.src = o.dst then 'warning' when b.dist is null then 'error' else 'success' end as status,
-  round(case when o.src = o.dst then 0 else b.dist end, 4) as cost, round(case when o.src = o.dst then 0 else b.dist / 1e3 end, 4) as km
-from fx_od o left join best b on b.od_id = o.od_id and b.node = o.dst""", recursive=True)
+  round(case when o.src = o.dst then 0 else b.dist end, 4) as cost, round_even(case when o.src = o.dst then 0 else b.dist / 1e3 end, 2) as distance_km,
+  case when b.dist is not null or o.src = o.dst then round(s.lon, 6) end as from_lon, case when b.dist is not null or o.src = o.dst then round(s.lat, 6) end as from_lat,
+  case when b.dist is not null or o.src = o.dst then round(e.lon, 6) end as to_lon, case when b.dist is not null or o.src = o.dst then round(e.lat, 6) end as to_lat
+from fx_od o left join best b on b.od_id = o.od_id and b.node = o.dst left join ll s on s.id = o.src left join ll e on e.id = o.dst""", recursive=True)
 def _(spark, sf):
-    out = RT.route(od(spark, sf), nodes(spark, sf), streets(spark, sf), "length_m")
-    return out.select("query_id", "src", "dst", "status", F.round("cost", 4).alias("cost"), F.round(F.col("cost") / 1000, 4).alias("km"))
+    from netresil.plans.requests import answer_routes, place
+    n = nodes(spark, sf)
+    at = place(n)
+    end = lambda c, tag: at.select(F.col("node_id").alias(c), F.col("lat").alias(f"{tag}_lat"), F.col("lon").alias(f"{tag}_lon"))
+    asked = od(spark, sf).join(end("src", "start"), "src").join(end("dst", "end"), "dst").select(
+        "query_id", "start_lat", "start_lon", "end_lat", "end_lon", F.lit("length_m").alias("weight_type"))
+    out = answer_routes(asked, n, streets(spark, sf))
+    c = lambda i, j: F.round(F.get(F.element_at("route_coords", i), F.lit(j)), 6)
+    return out.select("query_id", "src", "dst", "status", F.round("cost", 4).alias("cost"), "distance_km",
+                      c(1, 0).alias("from_lon"), c(1, 1).alias("from_lat"), c(-1, 0).alias("to_lon"), c(-1, 1).alias("to_lat"))
 
 
 @query("agg08_route_metrics", None)
@@ -325,6 +335,91 @@ def _(spark, sf):
     return out.select("query_id", "src", "dst", "normal_status", F.round("normal_cost", 4).alias("normal_cost"))
 
 
-@query("grf16b_route_comparison")
+# routes that keep out of the zone, first between the ends themselves (searched from the destination, which may be walled in), then between their nearest nodes well outside
+AVOID = """{name}(query_id, node, dist) using key (query_id, node) as (
+  select query_id, src, 0e0 from {of} where src is not null and dst is not null union
+  select w.query_id, j.b, min(w.dist + j.w) from {name} w join adj j on j.a = w.node join {of} q on q.query_id = w.query_id join fx_nodes n on n.node_id = j.b
+    left join hit h on h.incident_id = w.query_id and h.src = least(w.node, j.b) and h.dst = greatest(w.node, j.b)
+    left join recurring.{name} o on o.query_id = w.query_id and o.node = j.b left join recurring.{name} g on g.query_id = w.query_id and g.node = q.dst
+  where h.src is null and w.dist + j.w < coalesce(o.dist, 1e18) and w.dist + j.w + 0.09e0 * sqrt((n.x - q.tx) * (n.x - q.tx) + (n.y - q.ty) * (n.y - q.ty)) <= coalesce(g.dist, 1e18) + 1e-6
+  group by w.query_id, j.b)"""
+COMPARE = HIT + ADJ.format(w="travel_time", edges=STREETS) + NEAR + """,
+back as (select q.query_id, q.dst as src, q.src as dst, n.x as tx, n.y as ty from q left join fx_nodes n on n.node_id = q.src), """ + AVOID.format(name="direct", of="back") + """,
+stuck as (select q.* from q left join direct d on d.query_id = q.query_id and d.node = q.src where q.src is not null and q.dst is not null and d.node is null),
+ends as (select query_id, zx, zy, zr, 's' as tip, src as node from stuck union all select query_id, zx, zy, zr, 'e', dst from stuck),
+links as (select src as a, dst as b from fx_edges union select dst, src from fx_edges),
+walk(query_id, tip, node, hops, out_of) using key (query_id, tip, node) as (
+  select query_id, tip, node, 0, sqrt((x - zx) * (x - zx) + (y - zy) * (y - zy)) > 3 * zr from ends join fx_nodes on node_id = node union
+  select w.query_id, w.tip, l.b, min(w.hops + 1), bool_and(sqrt((n.x - e.zx) * (n.x - e.zx) + (n.y - e.zy) * (n.y - e.zy)) > 3 * e.zr)
+  from walk w join links l on l.a = w.node join ends e on e.query_id = w.query_id and e.tip = w.tip join fx_nodes n on n.node_id = l.b
+    left join recurring.walk o on o.query_id = w.query_id and o.tip = w.tip and o.node = l.b
+  where not w.out_of and o.node is null group by w.query_id, w.tip, l.b),
+firsts as (select query_id, tip, min(hops) as hops from walk where out_of group by 1, 2),
+alts as (select w.query_id, w.tip, min(w.node) as node from walk w join firsts f on f.query_id = w.query_id and f.tip = w.tip and f.hops = w.hops where w.out_of group by 1, 2),
+detours as (select s.query_id, a.node as src, b.node as dst, n.x as tx, n.y as ty from stuck s join alts a on a.query_id = s.query_id and a.tip = 's'
+  join alts b on b.query_id = s.query_id and b.tip = 'e' join fx_nodes n on n.node_id = b.node where a.node <> b.node),
+""" + AVOID.format(name="around", of="detours") + """,
+res as (select q.query_id, q.src, q.dst, n.dist as normal_cost, coalesce(d.dist, r.dist) as safe_cost, d.dist is null and r.dist is not null as bypassed
+  from q left join normal n on n.query_id = q.query_id and n.node = q.dst left join direct d on d.query_id = q.query_id and d.node = q.src
+  left join detours on detours.query_id = q.query_id left join around r on r.query_id = q.query_id and r.node = detours.dst)
+select query_id, src, dst, case when src is null or dst is null then 'error' when normal_cost is null then 'no_path' else 'success' end as normal_status,
+  case when src is null or dst is null then 'error' when safe_cost is null then 'isolated' else 'success' end as safe_status,
+  bypassed, round(normal_cost, 4) as normal_cost, round(safe_cost, 4) as safe_cost,
+  round_even(round_even(safe_cost / 60, 1) - round_even(normal_cost / 60, 1), 1) as detour_mins from res"""
+
+
+def compared(out):
+    return out.select("query_id", "src", "dst", "normal_status", "safe_status", F.col("note").isNotNull().alias("bypassed"),
+                      F.round("normal_cost", 4).alias("normal_cost"), F.round("safe_cost", 4).alias("safe_cost"), "detour_mins")
+
+
+@query("grf16b_route_comparison", COMPARE, recursive=True)
+def _(spark, sf):
+    return compared(IM.compare_routes(requests(spark, sf), nodes(spark, sf), streets(spark, sf), 500.0))
+
+
+# every trip ends inside its zone
+INTO = COMPARE.replace("x + 60 as ex, y - radius_m - 150 as ey", "x as ex, y as ey")
+
+
+@query("grf17_bypass_routes", INTO, recursive=True)
+def _(spark, sf):
+    q = requests(spark, sf).withColumns({"ex": F.col("x"), "ey": F.col("y")})
+    return compared(IM.compare_routes(q, nodes(spark, sf), streets(spark, sf), 500.0))
+
+
+# what failures do to the trails, which are a forest (every corner leads on to one other at most): a removed segment
+# splits off the subtree behind it, less what segments removed further behind split off
+IMPACT = cc("fx_trails") + SIZES + HIT.replace("from fx_edges e", "from (select src, dst, length_m, null as highway from fx_trails) e") + """,
+touched as (select distinct h.incident_id, c.component from hit h join cc c on c.node_id = h.src),
+uphill(node, a, d) as (select src, dst, 1 from fx_trails union all select u.node, t.dst, u.d + 1 from uphill u join fx_trails t on t.src = u.a),
+subtree as (select n.node_id, 1 + count(u.node) as s from fx_nodes n left join uphill u on u.a = n.node_id group by 1),
+above as (select h.incident_id, h.src, arg_min(u.a, u.d) as a from hit h join uphill u on u.node = h.src join hit g on g.incident_id = h.incident_id and g.src = u.a group by 1, 2),
+cut as (select h.incident_id, h.src, c.component, s.s, v.a from hit h join subtree s on s.node_id = h.src join cc c on c.node_id = h.src
+  left join above v on v.incident_id = h.incident_id and v.src = h.src),
+pieces as (select c.incident_id, c.s - coalesce(sum(k.s), 0) as n from cut c left join cut k on k.incident_id = c.incident_id and k.a = c.src group by c.incident_id, c.src, c.s
+  union all select c.incident_id, z.nodes - sum(c.s) from cut c join sizes z on z.component = c.component where c.a is null group by c.incident_id, c.component, z.nodes),
+open as (select incident_id, count(*) as k, max(n) as big from pieces group by 1),
+shut as (select i.incident_id, max(s.nodes) as big from fx_incidents i join sizes s on true left join touched t on t.incident_id = i.incident_id and t.component = s.component
+  where t.component is null group by 1),
+t as (select incident_id, count(*) as k from touched group by 1), rem as (select incident_id, count(*) as k from hit group by 1),
+inside as (select p.incident_id, count(*) as k from fx_incidents p join fx_nodes n on n.x between p.x - p.radius_m and p.x + p.radius_m
+  and n.y between p.y - p.radius_m and p.y + p.radius_m and sqrt((p.x - n.x) * (p.x - n.x) + (p.y - n.y) * (p.y - n.y)) <= p.radius_m group by 1),
+b as (select (select count(*) from fx_nodes) * 1e0 as n, (select count(*) from sizes) as k, (select max(nodes) from sizes) as big),
+f as (select i.incident_id, b.n, b.k as components_before, b.k - coalesce(t.k, 0) + coalesce(open.k, 0) as components_after, b.big as big_before,
+    cast(greatest(coalesce(shut.big, 0), coalesce(open.big, 0)) as bigint) as big_after, coalesce(rem.k, 0) as edges_removed, coalesce(inside.k, 0) as nodes_in_zone,
+    cast(floor(pi() * (i.radius_m / 1e3 * (i.radius_m / 1e3)) * {density} * {share}) as bigint) as population_affected
+  from fx_incidents i join b on true left join t on t.incident_id = i.incident_id left join open on open.incident_id = i.incident_id
+    left join shut on shut.incident_id = i.incident_id left join rem on rem.incident_id = i.incident_id left join inside on inside.incident_id = i.incident_id),
+c as (select *, round_even(big_before / n * 100, 2) as connectivity_before, round_even(big_after / n * 100, 2) as connectivity_after from f),
+p as (select *, round_even(least(1e0, edges_removed * 0.05e0 + (connectivity_before - connectivity_after) / 50e0), 2) as priority_score from c)
+select incident_id, components_before, components_after, greatest(0, components_after - components_before) as disconnected_wards, population_affected,
+  connectivity_before, connectivity_after, round_even(1e0 - components_before / n, 3) as resilience_before, round_even(1e0 - components_after / n, 3) as resilience_after,
+  edges_removed, nodes_in_zone, priority_score,
+  case when priority_score > 0.75e0 then 'CRITICAL' when priority_score > 0.45e0 then 'HIGH' else 'MEDIUM' end as emergency_priority from p""".format(
+    density=f"{float(X.POPULATION_DENSITY_KM2)!r}::double", share=f"{float(X.POPULATION_SHARE)!r}::double")
+
+
+@query("grf15c_failure_impact_trails", IMPACT, recursive=True)
 def _(spark, sf):
-    return IM.compare_routes(requests(spark, sf), nodes(spark, sf), streets(spark, sf), 500.0)
+    return IM.impact(fx(spark, sf, "fx_incidents"), nodes(spark, sf), fx(spark, sf, "fx_trails"))

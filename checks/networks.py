@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks.fixtures import fx
-from checks.graphs import nodes, requests, streets
+from checks.graphs import IMPACT, nodes
 from checks.rasters import full_mask, grid, pix, shape
 from checks.registry import query
 from netresil.operators import graph as GR
@@ -92,7 +92,7 @@ def _(spark, sf):
 def _(spark, sf):
     from netresil.operators.centrality import betweenness
     _, n, e = traced(spark, sf)
-    return betweenness(n, SK.simple_graph(e), 12)
+    return betweenness(n, SK.simple_graph(e), 300)
 
 
 @query("grf11_composite_criticality")
@@ -100,7 +100,7 @@ def _(spark, sf):
     from netresil.operators.centrality import betweenness
     _, n, e = traced(spark, sf)
     simple = SK.simple_graph(e)
-    scored = GR.composite_criticality(betweenness(n, simple, 8), GR.backbone(GR.core_number(n, simple)))
+    scored = GR.composite_criticality(betweenness(n, simple, 300), GR.backbone(GR.core_number(n, simple)))
     return GR.edge_criticality(simple, scored)
 
 
@@ -157,22 +157,13 @@ def _(spark, sf):
                       F.round("travel_time", 4).alias("travel_time"))
 
 
-@query("grf17_bypass_routes")
-def _(spark, sf):
-    # trips that end inside the zone: the direct safe path is always cut
-    from netresil.plans.impact import compare_routes
-    q = requests(spark, sf).withColumns({"ex": F.col("x"), "ey": F.col("y")})
-    return compare_routes(q, nodes(spark, sf), streets(spark, sf), 500.0).select(
-        "query_id", "src", "dst", "normal_status", "safe_status", "note", "safe_distance_km", "detour_km")
-
-
 @query("grf18_demo_scenario")
 def _(spark, sf):
     from netresil.plans.demo import demo_scenario
     return demo_scenario(nodes(spark, sf), cut_lineage(GR.normalize_edges(fx(spark, sf, "fx_trails"))))
 
 
-@query("str01_stream_impact")
+@query("str01_stream_impact", IMPACT, recursive=True)
 def _(spark, sf):
     from checks.tables import scratch
     from netresil.streaming.incidents import impact_of_available
@@ -180,5 +171,5 @@ def _(spark, sf):
     inc = fx(spark, sf, "fx_incidents").withColumn("at", F.timestamp_seconds(F.lit(1.7e9) + F.col("incident_id")))
     inc.unionByName(inc).repartition(2).write.parquet(f"{path}/in")
     n = nodes(spark, sf)
-    impact_of_available(spark, f"{path}/in", f"{path}/out", f"{path}/state", n, cut_lineage(fx(spark, sf, "fx_edges")))
+    impact_of_available(spark, f"{path}/in", f"{path}/out", f"{path}/state", n, cut_lineage(fx(spark, sf, "fx_trails")))
     return spark.read.parquet(f"{path}/out").drop("batch")

@@ -114,4 +114,4 @@ def _(spark, sf):
 def _(spark, sf):
     n = fx(spark, sf, "fx_nodes")
     members = largest_component_nodes(connected_components(n, fx(spark, sf, "fx_trails"))).select("node_id")
-    return S.random_near(fx(spark, sf, "fx_points"), n, members, 20)
+    return S.random_near(fx(spark, sf, "fx_points"), n, members)

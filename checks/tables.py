@@ -209,10 +209,10 @@ BANDS = """case c_custkey % 5 when 0 then 'HHHH' when 1 then 'VVVV' when 2 then
 
 
 @query("srt05_first_present_band", f"""
-, a as (select c_nationkey as scene, {BANDS} as band from customer where c_acctbal > 9000)
+, a as (select c_nationkey as scene, {BANDS} as band from customer)
 select scene, coalesce(max(band) filter (where band = 'HHHH'), max(band) filter (where band = 'VVVV'), max(band) filter (where band = 'HH')) as band from a group by scene""")
 def _(spark, sf):
-    a = table(spark, sf, "customer").where("c_acctbal > 9000").select(F.col("c_nationkey").alias("scene"), F.expr(BANDS).alias("band"))
+    a = table(spark, sf, "customer").select(F.col("c_nationkey").alias("scene"), F.expr(BANDS).alias("band"))
     return CT.first_present_band(a, ["HHHH", "VVVV", "HH"])
 
 
@@ -239,16 +239,16 @@ def _(spark, sf):
 
 @query("src03_axis_window", """
 , s as (select cast(side as bigint) as n from fx_dim),
-a as (select 'x' as axis, c as idx, 250000 + c * 100e0 as coord from fx_nodes where r = 0 union all
-  select 'y', r, 2540000 + ((select max(r) from fx_nodes) - r) * 100e0 from fx_nodes where c = 0),
+a as (select distinct 'x' as axis, c as idx, 250000 + c * 100e0 as coord from fx_nodes union all
+  select distinct 'y', r, 2540000 + ((select max(r) from fx_nodes) - r) * 100e0 from fx_nodes),
 g as (select axis, count(*) as n, max(coord) filter (where idx = 1) > max(coord) filter (where idx = 0) as up, count(*) filter (where coord < 251234) as below,
   count(*) filter (where coord <= 252345) as upto, count(*) filter (where coord > 252345) as above, count(*) filter (where coord >= 251234) as from_lo from a group by axis)
 select axis, greatest(0, case when up then below else above end - 1) as start, least(n, case when up then upto else from_lo end + 1) as stop, up as flip from g""")
 def _(spark, sf):
     n = fx(spark, sf, "fx_nodes")
     top = n.agg(F.max("r")).first()[0]
-    a = n.where("r = 0").select(F.lit("x").alias("axis"), F.col("c").alias("idx"), (250000 + F.col("c") * 100.0).alias("coord")).unionByName(
-        n.where("c = 0").select(F.lit("y").alias("axis"), F.col("r").alias("idx"), (2540000 + (F.lit(top) - F.col("r")) * 100.0).alias("coord")))
+    a = n.select("c").distinct().select(F.lit("x").alias("axis"), F.col("c").alias("idx"), (250000 + F.col("c") * 100.0).alias("coord")).unionByName(
+        n.select("r").distinct().select(F.lit("y").alias("axis"), F.col("r").alias("idx"), (2540000 + (F.lit(top) - F.col("r")) * 100.0).alias("coord")))
     return CT.axis_window(a, 251234.0, 252345.0)
 
 

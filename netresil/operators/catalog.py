@@ -57,14 +57,16 @@ def fuzzy_match_tiles(images: DataFrame, vectors: DataFrame) -> DataFrame:
             F.sequence(F.lit(1), F.length("vector") - F.col("len") + 1), lambda i: F.substring(F.col("vector"), i, F.col("len"))
         ))).alias("part")
     )
-    contained = suffix.join(windows.join(wanted.select("part"), "part", "left_semi"), "part").groupBy("stem", "priority").agg(
+    # The best vector of a part does not depend on the image: one per part is left before any join.
+    least = lambda d: d.groupBy("part").agg(F.min("vector").alias("vector"))
+    contained = suffix.join(least(windows.join(wanted.select("part"), "part", "left_semi")), "part").groupBy("stem", "priority").agg(
         F.min("vector").alias("vector")
     ).select("stem", "vector", "priority")
     digits = img.select("stem", F.posexplode(F.reverse(_parts(F.col("stem")))).alias("k", "part")).where(F.col("part").rlike("^[0-9]+$"))
     tails = vec.select("vector", F.explode(F.transform(
         F.sequence(F.lit(1), F.length("vector")), lambda i: F.substring(F.col("vector"), i, F.length("vector"))
     )).alias("part"))
-    ended = digits.join(tails, "part").select("stem", "vector", (F.col("k") + 30).alias("priority"))
+    ended = digits.join(least(tails), "part").select("stem", "vector", (F.col("k") + 30).alias("priority"))
     every = exact.unionByName(swapped).unionByName(contained).unionByName(ended)
     return every.groupBy("stem").agg(F.min(F.struct("priority", "vector")).alias("b")).select("stem", "b.vector", "b.priority")
 

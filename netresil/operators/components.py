@@ -14,12 +14,13 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netresil.session import cut_lineage
+from netresil.session import Rounds, cut_lineage
 
 
-def _large_star(e: DataFrame, keys: list[str]) -> DataFrame:
+def _large_star(e: DataFrame, keys: list[str], rounds: Rounds) -> DataFrame:
     both = e.unionByName(e.select(*keys, F.col("dst").alias("src"), F.col("src").alias("dst")))
-    low = both.groupBy(*keys, "src").agg(F.least(F.min("dst"), F.col("src")).alias("low"))
+    # Written first: a minimum taken inside the join's own stage would keep AQE from splitting a hub.
+    (low,) = rounds.cut(both.groupBy(*keys, "src").agg(F.least(F.min("dst"), F.col("src")).alias("low")))
     return (
         both.join(low, [*keys, "src"])
         .where(F.col("dst") > F.col("src"))
@@ -57,8 +58,9 @@ def star_labels(edges: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
         F.greatest("src", "dst").alias("src"),
         F.least("src", "dst").alias("dst"),
     ).distinct()
+    lows, tables = Rounds(), Rounds()
     while True:
-        e = cut_lineage(_small_star(_large_star(e, keys), keys))
+        (e,) = tables.cut(_small_star(_large_star(e, keys, lows), keys))
         if not _tangled(e, keys):
             break
     hub = e.select(*keys, F.col("dst").alias("node_id"), F.col("dst").alias("component")).distinct()

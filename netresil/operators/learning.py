@@ -15,10 +15,10 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from netresil.operators.routing import positions
+from netresil.operators.routing import ranked
 
 FEATURES = ["D", "S", "W", "C"]
-MODEL_VERSION = "v4-skeleton-connectivity"
+MODEL_VERSION = "gap-logistic-1"
 
 
 def keyed_order(seed: int, *cols: str) -> Column:
@@ -29,16 +29,16 @@ def split3(df: DataFrame, order: Sequence[str], val: float = 0.15, test: float =
     """Exact-size split by ascending ``order``: test and val get int(n x ratio).
 
     Pass a keyed hash as the first order column for a random split. Positions
-    come from a range partitioning, not from one sorted task.
+    come from a range partitioning, not from one sorted task. Rows of equal
+    order are told apart by a hash of all their columns; every row comes out
+    once.
     """
-    keyed = df.withColumn("_o", F.struct(*order))
-    pos = positions(keyed, "_o")
     n = df.count()
     n_val, n_test = int(n * val), int(n * test)
     n_train = n - n_val - n_test
     p = F.col("pos")
     part = F.when(p < n_train, "train").when(p < n_train + n_val, "val").otherwise("test")
-    return keyed.join(pos.select("_o", part.alias("split")), "_o").drop("_o")
+    return ranked(df, order).withColumn("split", part).drop("pos")
 
 
 def cap_per_tile(df: DataFrame, tile: str, label: str, caps: dict[int, int], order: Column) -> DataFrame:
@@ -52,10 +52,8 @@ def cap_per_tile(df: DataFrame, tile: str, label: str, caps: dict[int, int], ord
 
 
 def first_by_order(df: DataFrame, order: Sequence[str], n: int) -> DataFrame:
-    """The n smallest rows under ``order``, by position over range partitions."""
-    keyed = df.withColumn("_o", F.struct(*order))
-    keep = positions(keyed, "_o").where(F.col("pos") < n).select("_o")
-    return keyed.join(keep, "_o", "left_semi").drop("_o")
+    """The n smallest rows under ``order``, by position over range partitions; exactly n, also under ties."""
+    return ranked(df, order).where(F.col("pos") < n).drop("pos")
 
 
 def balance(df: DataFrame, label: str, order: Sequence[str], ratio: int = 3) -> DataFrame:

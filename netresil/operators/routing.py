@@ -10,17 +10,20 @@ weights, so results are exact.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from netresil.functions import expressions as X
 from netresil.functions.geometry import norm2, point_segment_distance
 from netresil.operators.graph import cheapest_edges
-from netresil.session import cut_lineage
+from netresil.session import Rounds, cut_lineage
 
 WEIGHTS = ("travel_time", "length_m")
-WALK = 8  # steps of a path followed per job
 BYPASS_REACH = 3.0
+
+# The messages a request is answered with.
 NO_PATH = "No navigable path between these points."
 SAME_NODE = "Origin and destination are the same node."
 BYPASS_NOTE = "Rerouted via bypass nodes outside failure zone"
@@ -31,10 +34,11 @@ ISOLATED = (
 
 
 def adjacency(nodes: DataFrame, edges: DataFrame, weight: str) -> DataFrame:
-    """Both directions of the cheapest edges with the coordinates of both ends."""
+    """Both directions of the cheapest edges with the coordinates of both ends; edges without the weight are left out."""
     if weight not in edges.columns:
         raise ValueError(f"no such weight: {weight}")
-    e = edges.select("src", "dst", F.col(weight).alias("w"))
+    # an edge without this weight can't be travelled; left in, its null would sort before every distance
+    e = edges.select("src", "dst", F.col(weight).alias("w")).where(F.col("w").isNotNull())
     e = e.where(F.col("src") != F.col("dst"))
     e = e.groupBy(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).agg(F.min("w").alias("w"))
     u = nodes.select(F.col("node_id").alias("src"), F.col("x").alias("ux"), F.col("y").alias("uy"))
@@ -78,13 +82,14 @@ def probe(od: DataFrame, adj: DataFrame) -> DataFrame:
             "query_id", F.col("dst").alias("node"), none.alias("d0"), F.lit(0.0).alias("d1"), F.lit(False).alias("f0"), F.lit(True).alias("f1")
         ))
     )
+    tables = Rounds()
     while True:
         status = state.groupBy("query_id").agg(
             F.min(F.col("d0") + F.col("d1")).alias("bound"), F.max("f0").alias("a0"), F.max("f1").alias("a1")
         )
         alive = status.where(F.col("bound").isNull() & F.col("a0") & F.col("a1")).select("query_id")
         if alive.limit(1).count() == 0:
-            return status.where(F.col("bound").isNotNull()).select("query_id", "bound")
+            return cut_lineage(status.where(F.col("bound").isNotNull()).select("query_id", "bound"))
         tried = (
             state.where(F.col("f0") | F.col("f1")).join(alive, "query_id", "left_semi").join(zones, "query_id")
             .join(adj, F.col("node") == F.col("u")).where(_open_edge())
@@ -95,7 +100,7 @@ def probe(od: DataFrame, adj: DataFrame) -> DataFrame:
         g = kept.unionByName(tried).groupBy("query_id", "node").agg(
             F.max("d0").alias("d0"), F.max("d1").alias("d1"), F.min("n0").alias("n0"), F.min("n1").alias("n1")
         )
-        state = cut_lineage(g.select(
+        (state,) = tables.cut(g.select(
             "query_id", "node", F.coalesce("d0", "n0").alias("d0"), F.coalesce("d1", "n1").alias("d1"),
             (F.col("d0").isNull() & F.col("n0").isNotNull()).alias("f0"), (F.col("d1").isNull() & F.col("n1").isNotNull()).alias("f1"),
         ))
@@ -115,6 +120,7 @@ def search(od: DataFrame, nodes: DataFrame, adj: DataFrame) -> DataFrame:
         "query_id", F.col("src").alias("node"), F.lit(0.0).alias("dist"),
         F.lit(None).cast("bigint").alias("pred"), F.lit(True).alias("fresh"),
     ))
+    tables = Rounds()
     while True:
         best = state.join(od.select("query_id", F.col("dst").alias("node")), ["query_id", "node"]).select(
             "query_id", F.col("dist").alias("best")
@@ -130,7 +136,7 @@ def search(od: DataFrame, nodes: DataFrame, adj: DataFrame) -> DataFrame:
             .select("query_id", F.col("v").alias("node"), dist.alias("dist"), F.col("u").alias("pred"), F.lit(1).alias("new"))
         )
         kept = state.select("query_id", "node", "dist", "pred", F.lit(0).alias("new"))
-        state = cut_lineage(
+        (state,) = tables.cut(
             kept.unionByName(tried).groupBy("query_id", "node")
             .agg(F.min(F.struct("dist", "new", "pred")).alias("b"))
             .select("query_id", "node", "b.dist", "b.pred", (F.col("b.new") == 1).alias("fresh"))
@@ -142,11 +148,12 @@ def search(od: DataFrame, nodes: DataFrame, adj: DataFrame) -> DataFrame:
 def search_all(od: DataFrame, adj: DataFrame) -> DataFrame:
     """Distances from each query's ``src`` to every node: ``(query_id, node, dist)``."""
     state = cut_lineage(od.select("query_id", F.col("src").alias("node"), F.lit(0.0).alias("dist"), F.lit(True).alias("fresh")))
+    tables = Rounds()
     while True:
         tried = state.where("fresh").join(adj, F.col("node") == F.col("u")).select(
             "query_id", F.col("v").alias("node"), (F.col("dist") + F.col("w")).alias("dist"), F.lit(1).alias("new")
         )
-        state = cut_lineage(
+        (state,) = tables.cut(
             state.select("query_id", "node", "dist", F.lit(0).alias("new")).unionByName(tried)
             .groupBy("query_id", "node").agg(F.min(F.struct("dist", "new")).alias("b"))
             .select("query_id", "node", "b.dist", (F.col("b.new") == 1).alias("fresh"))
@@ -156,30 +163,24 @@ def search_all(od: DataFrame, adj: DataFrame) -> DataFrame:
 
 
 def walk_back(od: DataFrame, state: DataFrame) -> DataFrame:
-    """Follow predecessors from each target: ``(query_id, back, node)``."""
-    hop = state.select("query_id", "node", "pred")
-    at = cut_lineage(od.select("query_id", F.col("dst").alias("node")).join(hop, ["query_id", "node"]))
-    pieces = []
-    base = 0
+    """The path to each target, backwards: ``(query_id, back, node)``.
+
+    Pointer doubling: in round k every node known to be on a path knows the one
+    2^k steps before it, and each node found at distance d finds the one at
+    d + 2^k. A path of n nodes takes log2(n) rounds.
+    """
+    jump = state.where(F.col("pred").isNotNull()).select("query_id", "node", F.col("pred").alias("to"))
+    found = cut_lineage(od.select("query_id", F.col("dst").alias("node")).join(state.select("query_id", "node"), ["query_id", "node"]).select(
+        "query_id", F.lit(0).cast("bigint").alias("back"), "node"))
+    step = 1
     while True:
-        row = at.select("query_id", F.array("node").alias("trail"), F.col("pred").alias("at"))
-        for _ in range(WALK - 1):
-            nxt = hop.select("query_id", F.col("node").alias("at"), F.col("pred").alias("further"))
-            row = row.join(nxt, ["query_id", "at"], "left").select(
-                "query_id",
-                F.when(F.col("at").isNull(), F.col("trail")).otherwise(F.concat("trail", F.array("at"))).alias("trail"),
-                F.col("further").alias("at"),
-            )
-        row = cut_lineage(row)
-        pieces.append(row.select("query_id", F.posexplode("trail").alias("back", "node")).withColumn("back", F.col("back") + base))
-        base += WALK
-        at = row.where(F.col("at").isNotNull()).select("query_id", F.col("at").alias("node")).join(hop, ["query_id", "node"])
-        if at.limit(1).count() == 0:
-            break
-    out = pieces[0]
-    for p in pieces[1:]:
-        out = out.unionByName(p)
-    return out
+        more = cut_lineage(found.join(jump, ["query_id", "node"]).select("query_id", (F.col("back") + step).alias("back"), F.col("to").alias("node")))
+        if more.limit(1).count() == 0:
+            return found
+        found = cut_lineage(found.unionByName(more))
+        onward = jump.select("query_id", F.col("node").alias("to"), F.col("to").alias("onward"))
+        jump = cut_lineage(jump.join(onward, ["query_id", "to"]).select("query_id", "node", F.col("onward").alias("to")))
+        step *= 2
 
 
 def shortest_paths(od: DataFrame, nodes: DataFrame, edges: DataFrame, weight: str = "travel_time",
@@ -207,9 +208,22 @@ def path_segments(paths: DataFrame) -> DataFrame:
     return paths.select("query_id", "seq", F.col("node_id").alias("u")).join(nxt, ["query_id", "seq"])
 
 
-def route_metrics(paths: DataFrame, edges: DataFrame, weight: str = "travel_time") -> DataFrame:
-    """Distance, time, congestion and size of each route, from the edges paid for."""
-    paid = cheapest_edges(edges, weight).select("src", "dst", "length_m", "travel_time", "congestion_level")
+def first_parallel(edges: DataFrame) -> DataFrame:
+    """Of parallel edges the one with key 0, or the lowest key where there is none."""
+    rest = [c for c in edges.columns if c not in ("src", "dst")]
+    ends = {"src": F.least("src", "dst"), "dst": F.greatest("src", "dst")}
+    return edges.withColumns({f"_{k}": v for k, v in ends.items()}).groupBy(F.col("_src").alias("src"), F.col("_dst").alias("dst")).agg(
+        F.min_by(F.struct(*rest), F.struct(F.col("edge_key") != 0, "edge_key")).alias("e")).select("src", "dst", "e.*")
+
+
+def route_metrics(paths: DataFrame, edges: DataFrame, weight: str = "travel_time", parallel: str = "paid") -> DataFrame:
+    """Distance, time, congestion and size of each route.
+
+    Figures come from the edges the route paid for; ``parallel="first"`` takes
+    the parallel edge with key 0 instead, whatever the path paid.
+    """
+    chosen = first_parallel(edges) if parallel == "first" else cheapest_edges(edges, weight)
+    paid = chosen.select("src", "dst", "length_m", "travel_time", "congestion_level")
     steps = path_segments(paths).withColumns({"src": F.least("u", "v"), "dst": F.greatest("u", "v")})
     sums = steps.join(paid, ["src", "dst"]).groupBy("query_id").agg(
         F.sum("length_m").alias("m"), F.sum("travel_time").alias("s"),
@@ -316,14 +330,25 @@ def positions(ids: DataFrame, column: str = "node_id") -> DataFrame:
     Two steps so that no single task sorts everything: ids are counted per
     bucket of a range partitioning, offsets come from the bucket totals.
     """
-    parts = ids.select(column).repartitionByRange(F.col(column)).withColumn("_p", F.spark_partition_id())
+    return ranked(ids.select(column), [column])
+
+
+def ranked(rows: DataFrame, order: Sequence[str]) -> DataFrame:
+    """The rows with their dense position ``pos`` in ascending ``order``.
+
+    The rows themselves travel, so nothing is joined back and ties can't
+    multiply them; a hash of all columns orders equal ones.
+    """
+    tie = F.xxhash64(*rows.columns)
+    by = [F.col(c) for c in order]
+    parts = rows.withColumn("_h", tie).repartitionByRange(*by, F.col("_h")).withColumn("_p", F.spark_partition_id())
     parts = cut_lineage(parts)
     totals = parts.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
     from pyspark.sql import Window
 
     before = F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))
     offsets = totals.select("_p", F.coalesce(before, F.lit(0)).alias("_off"))  # one row per partition
-    local = F.row_number().over(Window.partitionBy("_p").orderBy(column)) - 1
+    local = F.row_number().over(Window.partitionBy("_p").orderBy(*by, "_h")) - 1
     return parts.withColumn("_i", local).join(F.broadcast(offsets), "_p").select(
-        column, (F.col("_off") + F.col("_i")).cast("bigint").alias("pos")
+        *rows.columns, (F.col("_off") + F.col("_i")).cast("bigint").alias("pos")
     )

@@ -14,10 +14,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from netresil.functions.geometry import norm2, point_segment_distance
+from netresil.session import cut_lineage
 
 LEAF_PLACES = 32      # stop splitting cells once no cell holds more places
 FAN_BITS = 2          # each step splits a cell into 4 x 4
 FINEST_CELL = 2.0 ** -10
+COARSE = 64           # fine cells along one coarse cell
 
 
 def _cell(v: Column, size: float) -> Column:
@@ -76,7 +78,8 @@ def nearest_nodes(points: DataFrame, nodes: DataFrame, k: int = 1, max_dist: flo
         F.col("x").alias("px"), F.col("y").alias("py")
     )
     nodes = nodes.select("node_id", "x", "y")
-    places = nodes.groupBy("x", "y").agg(F.count(F.lit(1)).alias("held"))
+    # written once: every level below reads the folded places, not the source
+    places = cut_lineage(nodes.groupBy("x", "y").agg(F.count(F.lit(1)).alias("held")))
     if max_dist is None:
         ext = points.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
         ext2 = nodes.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
@@ -90,14 +93,19 @@ def nearest_nodes(points: DataFrame, nodes: DataFrame, k: int = 1, max_dist: flo
     else:
         top = 2.0 ** math.ceil(math.log2(max(max_dist, 1e-3)))
     sizes = _pyramid_sizes(places, top)
+    # cells of the finest level once; each coarser level is rolled up from the one below it
+    box = [F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min("y0").alias("y0"), F.max("y1").alias("y1"), F.sum("held").alias("held")]
+    finest = cut_lineage(places.groupBy(_cell(F.col("x"), sizes[-1]).alias("cx"), _cell(F.col("y"), sizes[-1]).alias("cy")).agg(
+        F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"), F.sum("held").alias("held")))
+    level = {sizes[-1]: finest}
+    for coarse, fine in zip(sizes[-2::-1], sizes[:0:-1]):
+        up = lambda c: F.floor(F.col(c) / F.lit(float(2**FAN_BITS))).cast("bigint")
+        level[coarse] = cut_lineage(level[fine].groupBy(up("cx").alias("cx"), up("cy").alias("cy")).agg(*box))
 
     here = [F.col("px"), F.col("py")]
     found = None
     for size in sizes:
-        cells = places.groupBy(_cell(F.col("x"), size).alias("cx"), _cell(F.col("y"), size).alias("cy")).agg(
-            F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"),
-            F.sum("held").alias("held"),
-        )
+        cells = level[size]
         if found is None:
             looked = _around(spots, size, "px", "py")
         else:
@@ -142,14 +150,25 @@ def nearest_nodes(points: DataFrame, nodes: DataFrame, k: int = 1, max_dist: flo
     ).select("point_id", "node_id", "dist", "rank")
 
 
-def snap(points: DataFrame, nodes: DataFrame, max_dist: float) -> DataFrame:
-    """Nearest node of every point, or an error status beyond ``max_dist``."""
-    hit = nearest_nodes(points, nodes, 1, max_dist)
-    text = f"No road found within {max_dist:.0f} m of your location. Try a point closer to a road."
-    return points.select("point_id").join(hit.drop("rank"), "point_id", "left").select(
-        "point_id", "node_id", "dist",
-        F.when(F.col("node_id").isNull(), F.lit("error")).otherwise(F.lit("ok")).alias("status"),
-        F.when(F.col("node_id").isNull(), F.lit(text)).alias("message"),
+def snap(points: DataFrame, nodes: DataFrame, max_dist: float | None = None) -> DataFrame:
+    """Nearest node of every point, or an error status beyond its limit.
+
+    The limit is ``max_dist``, or each point's own ``max_snap_dist_m`` where
+    that is not given.
+    """
+    if max_dist is None:
+        points = points.withColumn("limit", F.col("max_snap_dist_m"))
+        reach = points.agg(F.max("limit")).first()[0] or 0.0
+    else:
+        points, reach = points.withColumn("limit", F.lit(float(max_dist))), max_dist
+    hit = nearest_nodes(points, nodes, 1, reach)
+    # Fixed value: the message of a request off the road.
+    text = F.concat(F.lit("No road found within "), F.format_string("%.0f", F.col("limit")), F.lit(" m of your location. Try a point closer to a road."))
+    near = points.select("point_id", "limit").join(hit.drop("rank"), "point_id", "left").withColumn("near", F.coalesce(F.col("dist") <= F.col("limit"), F.lit(False)))
+    return near.select(
+        "point_id", F.when(F.col("near"), F.col("node_id")).alias("node_id"), F.when(F.col("near"), F.col("dist")).alias("dist"),
+        F.when(F.col("near"), F.lit("ok")).otherwise(F.lit("error")).alias("status"),
+        F.when(~F.col("near"), text).alias("message"),
     )
 
 
@@ -217,69 +236,93 @@ def edge_endpoints(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges.join(a, "src").join(b, "dst")
 
 
-def _segment_cells(segments: DataFrame, size: Column) -> DataFrame:
-    """Cells a segment runs through, column by column: linear in its length."""
+def _column_span(col: Column, size: Column) -> tuple[Column, Column]:
+    """First and last row of cells that a segment runs through within a column of cells."""
     lo_x, hi_x = F.least("ax", "bx"), F.greatest("ax", "bx")
-    cols = segments.withColumn(
-        "cx", F.explode(F.sequence(F.floor(lo_x / size).cast("bigint"), F.floor(hi_x / size).cast("bigint")))
-    )
-    dx = F.col("bx") - F.col("ax")
-    slope = (F.col("by") - F.col("ay")) / F.nullif(dx, F.lit(0.0))
-    left = F.greatest(lo_x, F.col("cx") * size)
-    right = F.least(hi_x, (F.col("cx") + 1) * size)
+    slope = (F.col("by") - F.col("ay")) / F.nullif(F.col("bx") - F.col("ax"), F.lit(0.0))
     y_at = lambda v: F.col("ay") + (v - F.col("ax")) * slope
+    left, right = F.greatest(lo_x, col * size), F.least(hi_x, (col + 1) * size)
     lo_y = F.coalesce(F.least(y_at(left), y_at(right)), F.least("ay", "by"))
     hi_y = F.coalesce(F.greatest(y_at(left), y_at(right)), F.greatest("ay", "by"))
     slack = F.lit(1e-6)
-    return cols.withColumn(
-        "cy",
-        F.explode(F.sequence(F.floor((lo_y - slack) / size).cast("bigint"), F.floor((hi_y + slack) / size).cast("bigint"))),
-    )
+    return F.floor((lo_y - slack) / size).cast("bigint"), F.floor((hi_y + slack) / size).cast("bigint")
+
+
+def _segment_cells(segments: DataFrame, size: Column, x: str, y: str, within: tuple[str, str] | None = None) -> DataFrame:
+    """Cells a segment runs through, column by column: linear in its length.
+
+    ``within`` names the columns of a coarse cell; then only the cells inside it.
+    """
+    upto = lambda lo, hi: F.explode(F.when(lo <= hi, F.sequence(lo, hi)))
+    first, last = F.floor(F.least("ax", "bx") / size).cast("bigint"), F.floor(F.greatest("ax", "bx") / size).cast("bigint")
+    clip = lambda lo, hi, k: (lo, hi) if within is None else (F.greatest(lo, F.col(k) * COARSE), F.least(hi, F.col(k) * COARSE + COARSE - 1))
+    kx, ky = within or ("", "")
+    out = segments.withColumn(x, upto(*clip(first, last, kx)))
+    return out.withColumn(y, upto(*clip(*_column_span(F.col(x), size), ky)))
 
 
 def segments_within(zones: DataFrame, segments: DataFrame, zone_id: str = "incident_id") -> DataFrame:
     """Every (zone, segment) whose distance is at most the zone's radius.
 
     ``segments`` carries ``src, dst, ax, ay, bx, by`` and is unique by
-    (src, dst). Segments are laid on the grid of each radius class present, so
-    a zone always looks at nine cells of about its own size.
+    (src, dst). Zones are met on the grid of their own radius class, nine cells
+    each. A segment is first laid on a grid 64 times as coarse, and on the fine
+    one only inside coarse cells that hold a zone of the class. A pair that
+    meets in several cells is kept in the first of them, so pairs need no
+    deduplication.
     """
     classes = _classes_of(zones) or [0]
     keep = [c for c in segments.columns]
-    s = _segment_cells(segments.withColumn("cls", _each_class(classes)), F.pow(F.lit(2.0), F.col("cls")))
-    z = _zone_cells(zones).select(zone_id, "cls", "cx", "cy", F.col("x").alias("zx"), F.col("y").alias("zy"), "radius_m")
+    size = F.pow(F.lit(2.0), F.col("cls"))
+    z = _zone_cells(zones).select(
+        zone_id, "cls", "cx", "cy", F.col("x").alias("zx"), F.col("y").alias("zy"), "radius_m",
+        F.floor(F.col("x") / size).cast("bigint").alias("ox"), F.floor(F.col("y") / size).cast("bigint").alias("oy"),
+    )
+    up = lambda c: F.floor(F.col(c) / F.lit(float(COARSE))).cast("bigint")
+    held = z.select("cls", up("cx").alias("kx"), up("cy").alias("ky")).distinct()
+    near = _segment_cells(segments.withColumn("cls", _each_class(classes)), size * COARSE, "kx", "ky").join(held, ["cls", "kx", "ky"], "left_semi")
+    s = _segment_cells(near, size, "cx", "cy", ("kx", "ky"))
     dist = point_segment_distance(*[F.col(c) for c in ("zx", "zy", "ax", "ay", "bx", "by")])
+    lo, _ = _column_span(F.col("cx"), size)
+    first = F.col("cy") == F.greatest(lo, F.col("oy") - 1)
+    for back in (1, 2):
+        col = F.col("cx") - back
+        a, b = _column_span(col, size)
+        begins = F.greatest(F.floor(F.least("ax", "bx") / size).cast("bigint"), F.col("ox") - 1)
+        first = first & ~((col >= begins) & (a <= F.col("oy") + 1) & (b >= F.col("oy") - 1))
     return (
         s.join(z, ["cls", "cx", "cy"])
         .withColumn("dist", dist)
-        .where(F.col("dist") <= F.col("radius_m"))
+        .where((F.col("dist") <= F.col("radius_m")) & first)
         .select(zone_id, *keep, "dist")
-        .dropDuplicates([zone_id, "src", "dst"])
     )
 
 
 def distance_pairs(points: DataFrame, radius: float, keys: list[str] | None = None) -> DataFrame:
     """Unordered pairs at most ``radius`` apart: ``(ni, nj, gap)`` with ni < nj.
 
-    Half of the neighbouring cells suffice, since the pairs are unordered.
-    Pairs beyond the radius are met only within touching cells.
+    Since the pairs are unordered, each point looks at its own cell and at four
+    of the eight around it; the other four look at it. Within its own cell a
+    pair is met from both sides and kept from one.
     """
     keys = keys or []
-    p = points.select(*keys, F.col("node_id"), "x", "y")
-    a = _around(p, radius).select(
-        *keys, "cx", "cy", F.col("node_id").alias("ni"), F.col("x").alias("xi"), F.col("y").alias("yi")
-    )
-    b = p.select(
-        *keys, _cell(F.col("x"), radius).alias("cx"), _cell(F.col("y"), radius).alias("cy"),
-        F.col("node_id").alias("nj"), F.col("x").alias("xj"), F.col("y").alias("yj"),
+    p = points.select(*keys, F.col("node_id"), "x", "y").withColumns({"ox": _cell(F.col("x"), radius), "oy": _cell(F.col("y"), radius)})
+    ahead = F.array(*[F.struct(F.lit(i).cast("bigint").alias("i"), F.lit(j).cast("bigint").alias("j")) for i, j in ((0, 0), (0, 1), (1, -1), (1, 0), (1, 1))])
+    a = p.withColumn("o", F.explode(ahead)).select(
+        *keys, (F.col("ox") + F.col("o.i")).alias("cx"), (F.col("oy") + F.col("o.j")).alias("cy"), ((F.col("o.i") == 0) & (F.col("o.j") == 0)).alias("own"),
+        F.col("node_id").alias("na"), F.col("x").alias("xa"), F.col("y").alias("ya"),
     )
-    gap = norm2(F.col("xi") - F.col("xj"), F.col("yi") - F.col("yj"))
+    b = p.select(*keys, F.col("ox").alias("cx"), F.col("oy").alias("cy"), F.col("node_id").alias("nb"), F.col("x").alias("xb"), F.col("y").alias("yb"))
+    first = F.col("na") < F.col("nb")
+    pick = lambda u, v: F.when(first, F.col(u)).otherwise(F.col(v))
+    gap = norm2(F.col("xa") - F.col("xb"), F.col("ya") - F.col("yb"))
     return (
         a.join(b, [*keys, "cx", "cy"])
-        .where(F.col("ni") < F.col("nj"))
+        .where((F.col("na") != F.col("nb")) & (~F.col("own") | first))
         .withColumn("gap", gap)
         .where(F.col("gap") <= radius)
-        .select(*keys, "ni", "nj", "gap", "xi", "yi", "xj", "yj")
+        .select(*keys, pick("na", "nb").alias("ni"), pick("nb", "na").alias("nj"), "gap",
+                pick("xa", "xb").alias("xi"), pick("ya", "yb").alias("yi"), pick("xb", "xa").alias("xj"), pick("yb", "ya").alias("yj"))
     )
 
 
@@ -289,14 +332,14 @@ def knn_in_component(points: DataFrame, nodes: DataFrame, members: DataFrame, k:
 
 
 def random_near(points: DataFrame, nodes: DataFrame, members: DataFrame, k: int = 50, seed: int = 7) -> DataFrame:
-    """One of the nearest k member nodes, chosen by a keyed hash.
+    """One of the k nearest member nodes of each point, chosen by a keyed hash.
 
-    As in the interactive tool, members are looked for among the nearest
-    4 k nodes of the whole network; the rest of the choice is repeatable.
+    ``point_id, node_id, status``; only members are searched, so every point
+    gets one. Where there is no member at all, the row stays with a null node
+    and status ``error``.
     """
-    near = nearest_nodes(points, nodes, 4 * k).join(members, "node_id", "left_semi")
-    nth = F.row_number().over(Window.partitionBy("point_id").orderBy("rank"))
+    near = knn_in_component(points, nodes, members, k)
     pick = F.struct(F.xxhash64(F.lit(seed), "point_id", "node_id").alias("h"), "node_id")
-    return near.withColumn("nth", nth).where(F.col("nth") <= k).groupBy("point_id").agg(
-        F.min(pick).alias("p")
-    ).select("point_id", F.col("p.node_id").alias("node_id"))
+    chosen = near.groupBy("point_id").agg(F.min(pick).alias("p"))
+    return points.select("point_id").distinct().join(chosen, "point_id", "left").select(
+        "point_id", F.col("p.node_id").alias("node_id"), F.when(F.col("p").isNull(), "error").otherwise("success").alias("status"))

@@ -12,6 +12,7 @@ over the edges.
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,7 +22,7 @@ from netresil.functions.projection import utm_to_wgs84
 from netresil.operators.components import component_sizes, connected_components, star_labels
 from netresil.operators.graph import cheapest_edges, undirected_pairs
 from netresil.operators.routing import (
-    BYPASS_NOTE, ISOLATED, adjacency, nearest_outside, route_metrics, shortest_paths,
+    BYPASS_NOTE, ISOLATED, adjacency, nearest_outside, route_coords, route_metrics, shortest_paths,
 )
 from netresil.operators.spatial import edge_endpoints, nodes_in_zone, segments_within, snap
 from netresil.session import cut_lineage
@@ -53,8 +54,20 @@ def _levels(incidents: DataFrame, nodes: DataFrame) -> list[float]:
 def after_failure(incidents: DataFrame, nodes: DataFrame, segments: DataFrame, failed: DataFrame) -> DataFrame:
     """``(incident_id, components_after, largest_after)`` for every incident.
 
-    ``segments`` as from ``street_segments``.
+    ``segments`` as from ``street_segments``. Incidents are answered by radius,
+    in classes of a factor of sixteen: a block is never wider than its own
+    class needs, so one huge zone does not enlarge the work of small ones.
     """
+    cls = F.floor(F.log2(F.greatest(F.col("radius_m"), F.lit(1.0))) / 4)
+    classes = sorted(r[0] for r in incidents.select(cls.alias("k")).distinct().collect())
+    out = None
+    for k in classes or [0]:
+        one = _after_failure(incidents.where(cls == k), nodes, segments, failed)
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def _after_failure(incidents: DataFrame, nodes: DataFrame, segments: DataFrame, failed: DataFrame) -> DataFrame:
     box = {
         "x0": F.least("ax", "bx"), "x1": F.greatest("ax", "bx"),
         "y0": F.least("ay", "by"), "y1": F.greatest("ay", "by"),
@@ -147,18 +160,36 @@ def baseline(nodes: DataFrame, edges: DataFrame, components: DataFrame | None =
     )
 
 
+@dataclass
+class Network:
+    """What does not depend on incidents: nodes, segments and the figures before any failure."""
+
+    nodes: DataFrame
+    segments: DataFrame
+    base: DataFrame
+
+
+def prepare(nodes: DataFrame, edges: DataFrame) -> Network:
+    nodes = cut_lineage(nodes)
+    segments = cut_lineage(street_segments(nodes, edges))
+    return Network(nodes, segments, cut_lineage(baseline(nodes, segments)))
+
+
 def impact(incidents: DataFrame, nodes: DataFrame, edges: DataFrame, population: DataFrame | None = None) -> DataFrame:
     """Key figures per incident.
 
     ``population(incident_id, population_affected)`` is optional; without it
     the head count of a densely settled disc is assumed.
     """
-    nodes, incidents = cut_lineage(nodes), cut_lineage(incidents)
-    segments = cut_lineage(street_segments(nodes, edges))
+    return impact_on(prepare(nodes, edges), incidents, population)
+
+
+def impact_on(network: Network, incidents: DataFrame, population: DataFrame | None = None) -> DataFrame:
+    """Key figures per incident on a prepared network."""
+    nodes, segments, base, incidents = network.nodes, network.segments, network.base, cut_lineage(incidents)
     failed = cut_lineage(segments_within(incidents, segments))
     removed = failed.groupBy("incident_id").agg(F.count(F.lit(1)).alias("removed"))
     after = after_failure(incidents, nodes, segments, failed)
-    base = baseline(nodes, segments)
     n = F.col("nodes")
     out = (
         incidents.join(F.broadcast(base))  # one row
@@ -202,24 +233,32 @@ def failed_segments(incidents: DataFrame, nodes: DataFrame, edges: DataFrame) ->
     )
 
 
+def snap_ends(requests: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``query_id, src, dst, snap_message`` of requests with both places in
+    metres (``sx, sy, ex, ey``) and a limit of their own (``max_snap_dist_m``);
+    the message is that of the first end without a road."""
+    end = lambda tag, x, y: requests.select(
+        F.struct("query_id", F.lit(tag).alias("end")).alias("point_id"), F.col(x).alias("x"), F.col(y).alias("y"), "max_snap_dist_m")
+    at = snap(end("s", "sx", "sy").unionByName(end("e", "ex", "ey")), nodes)
+    of = lambda tag, c: F.max(F.when(F.col("point_id.end") == tag, F.col(c)))
+    return cut_lineage(at.groupBy(F.col("point_id.query_id").alias("query_id")).agg(
+        of("s", "node_id").alias("src"), of("e", "node_id").alias("dst"),
+        F.coalesce(of("s", "message"), of("e", "message")).alias("snap_message"),
+    ))
+
+
 def compare_routes(requests: DataFrame, nodes: DataFrame, edges: DataFrame, max_snap_m: float = 3000.0) -> DataFrame:
     """Normal and safe route of each request, with the bypass where needed.
 
-    ``requests(query_id, x, y, radius_m, sx, sy, ex, ey)``: a zone and two
-    places, all in metres. Zones never remove nodes, only edges, and are
-    judged edge by edge during the search, so no per-zone graph is built.
+    ``requests(query_id, x, y, radius_m, sx, sy, ex, ey[, max_snap_dist_m])``: a
+    zone and two places, all in metres. Zones never remove nodes, only edges,
+    and are judged edge by edge during the search, so no per-zone graph is
+    built.
     """
+    if "max_snap_dist_m" not in requests.columns:
+        requests = requests.withColumn("max_snap_dist_m", F.lit(float(max_snap_m)))
     requests = cut_lineage(requests)
-    ends = requests.select(F.struct("query_id", F.lit("s").alias("end")).alias("point_id"), F.col("sx").alias("x"), F.col("sy").alias("y")).unionByName(
-        requests.select(F.struct("query_id", F.lit("e").alias("end")).alias("point_id"), F.col("ex").alias("x"), F.col("ey").alias("y"))
-    )
-    at = snap(ends, nodes, max_snap_m).select(
-        F.col("point_id.query_id").alias("query_id"), F.col("point_id.end").alias("end"), "node_id"
-    )
-    at = cut_lineage(at.groupBy("query_id").agg(
-        F.max(F.when(F.col("end") == "s", F.col("node_id"))).alias("src"),
-        F.max(F.when(F.col("end") == "e", F.col("node_id"))).alias("dst"),
-    ))
+    at = snap_ends(requests, nodes)
     zone = requests.select("query_id", F.col("x").alias("zx"), F.col("y").alias("zy"), F.col("radius_m").alias("zr"))
     ok = at.where(F.col("src").isNotNull() & F.col("dst").isNotNull())
     adj = adjacency(nodes, edges, "travel_time")
@@ -227,11 +266,14 @@ def compare_routes(requests: DataFrame, nodes: DataFrame, edges: DataFrame, max_
     def metrics(od, tag):
         od = cut_lineage(od)
         costs, paths = shortest_paths(od.where(F.col("src") != F.col("dst")), nodes, edges, "travel_time", adj)
-        same = od.where(F.col("src") == F.col("dst")).select(
+        paths = cut_lineage(paths)
+        stay = od.where(F.col("src") == F.col("dst"))
+        here = route_coords(stay.select("query_id", F.lit(0).alias("seq"), F.col("src").alias("node_id")), nodes)
+        same = stay.select(
             "query_id", F.lit(0.0).alias("distance_km"), F.lit(0.0).alias("estimated_time_mins"),
             F.lit(0.0).alias("avg_congestion_multiplier"), F.lit(1).cast("bigint").alias("segments_count"), F.lit(0.0).alias("cost"),
-        )
-        got = route_metrics(paths, edges).join(costs, "query_id").unionByName(same)
+        ).join(here, "query_id")
+        got = route_metrics(paths, edges).join(costs, "query_id").join(route_coords(paths, nodes), "query_id").unionByName(same)
         return cut_lineage(got.select("query_id", *[F.col(c).alias(f"{tag}_{c}") for c in got.columns[1:]]))
 
     # normal and safe trips share every round of one search
@@ -268,9 +310,9 @@ def compare_routes(requests: DataFrame, nodes: DataFrame, edges: DataFrame, max_
         "query_id", "src", "dst",
         F.when(unsnapped, "error").when(has("normal"), "success").otherwise("no_path").alias("normal_status"),
         F.when(unsnapped, "error").when(has("safe"), "success").otherwise("isolated").alias("safe_status"),
-        F.when(~unsnapped & ~has("safe"), F.lit(ISOLATED)).alias("message"),
+        F.when(unsnapped, F.col("snap_message")).when(~has("safe"), F.lit(ISOLATED)).alias("message"),
         "note",
-        *[F.col(f"{t}_{c}") for t in ("normal", "safe") for c in ("distance_km", "estimated_time_mins", "avg_congestion_multiplier", "segments_count", "cost")],
+        *[F.col(f"{t}_{c}") for t in ("normal", "safe") for c in ("distance_km", "estimated_time_mins", "avg_congestion_multiplier", "segments_count", "cost", "route_coords")],
         F.bround(F.col("safe_distance_km") - F.col("normal_distance_km"), 2).alias("detour_km"),
         F.bround(F.col("safe_estimated_time_mins") - F.col("normal_estimated_time_mins"), 1).alias("detour_mins"),
     )

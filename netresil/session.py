@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "netresil") -> SparkSession:
-    """A single-machine session for tests and the bench."""
+def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "netresil", folder: str | None = None) -> SparkSession:
+    """A single-machine session for tests and the bench, which name a folder for intermediate tables."""
+    builder = SparkSession.builder
+    if folder:
+        builder = builder.config("spark.checkpoint.dir", folder)
     return (
-        SparkSession.builder.master(f"local[{cores}]")
+        builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
@@ -29,9 +31,9 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Use the shared folder named by ``spark.checkpoint.dir``.
 
-    Only a local session, where driver and executors share one disk, may fall
-    back to a temporary folder; on a cluster the setting is required, since a
-    machine-local folder would be lost with its executor.
+    Where it is unset, a folder of this application's own in the warehouse is
+    taken, which driver and executors share as well; never a machine's own
+    temporary folder, which would be lost with its executor.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -39,13 +41,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
-        if not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-        configured = tempfile.mkdtemp(prefix="netresil-checkpoint-")
+        configured = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_rounds-{sc.applicationId}"
     sc.setCheckpointDir(configured)
     return configured
 
 
+def _table(df: DataFrame) -> tuple[DataFrame, str]:
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/netresil-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write the rows to the shared checkpoint folder and read them back.
 
@@ -55,7 +62,48 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     a table's size is known, so the planner also knows what is small enough to
     broadcast.
     """
-    spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/netresil-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return _table(df)[0]
+
+
+class Scratch:
+    """Written tables that are removed when the block ends; what outlives it must be written on its own."""
+
+    def __init__(self):
+        self.held: list[tuple[SparkSession, str]] = []
+
+    def cut(self, df: DataFrame) -> DataFrame:
+        out, path = _table(df)
+        self.held.append((df.sparkSession, path))
+        return out
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        for spark, path in self.held:
+            _remove(spark, path)
+
+
+class Rounds:
+    """Tables of an iterative job: each round's is kept until the one after the next is written.
+
+    A round reads the table of the round before, so two are enough, also when
+    an executor is lost and tasks run again. Only for loops whose later rounds
+    and result read nothing older.
+    """
+
+    def __init__(self):
+        self.held: list[list[str]] = []
+
+    def cut(self, *frames: DataFrame) -> list[DataFrame]:
+        out = [_table(df) for df in frames]
+        self.held.append([path for _, path in out])
+        if len(self.held) > 2:
+            for path in self.held.pop(0):
+                _remove(frames[0].sparkSession, path)
+        return [df for df, _ in out]
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

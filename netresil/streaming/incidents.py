@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netresil.plans.impact import impact
+from netresil.plans.impact import impact_on, prepare
 
 INCIDENT = "incident_id BIGINT, x DOUBLE, y DOUBLE, radius_m DOUBLE, at TIMESTAMP"
 
@@ -23,11 +23,14 @@ def start_impact(stream: DataFrame, nodes: DataFrame, edges: DataFrame, out: str
     """Write the key figures of each batch under ``out/batch=<id>``.
 
     A batch that is run again after a failure overwrites its own folder, so
-    results appear once.
+    results appear once. The network and its state before any failure are
+    worked out once, when the stream starts.
     """
+    network = prepare(nodes, edges)
+
     def answer(batch: DataFrame, batch_id: int) -> None:
         if not batch.isEmpty():
-            impact(batch.drop("at"), nodes, edges).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+            impact_on(network, batch.drop("at")).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
     writer = stream.writeStream.foreachBatch(answer).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()

@@ -7,10 +7,10 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from netresil.session import local_session
 
-    s = local_session(4, 4, "netresil-tests")
+    s = local_session(4, 4, "netresil-tests", str(tmp_path_factory.mktemp("rounds")))
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()
