@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from netresil.llm.text import bound_batches
+
 #: Bytes that separate words become a space, A-Z become a-z.
 _TABLE = bytes(
     b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20
@@ -150,6 +152,7 @@ def contamination(
     passes one automaton after the other within the same task, without a
     shuffle.
     """
+    bound_batches(texts)
     patterns = item_patterns(items, item_col, item_text_col, window)
     grouped = patterns.groupBy("pattern").agg(F.sort_array(F.collect_set("item")).alias("items"))
     total = grouped.agg(F.sum(F.length("pattern") + 8)).first()[0] or 0

@@ -3,9 +3,10 @@
 A size-aware heavy-light join. Sets up to a boundary are light: they list all
 subsets of the sizes that a linked light partner must share, and two of them
 meet where a subset is equal. Larger sets are heavy: they meet in inverted lists
-over the shingles that a linked pair can't all miss (the first
-``n - ceil(t n) + 1`` in one global order, frequent shingles last). The boundary
-is the size at which the listed subsets begin to cost more than the lists.
+over the first ``n - ceil(t n) + s`` shingles in one global order (frequent ones
+last), of which a linked pair shares at least ``s``; pairs that share fewer are
+no candidates. The boundary is the size at which the listed subsets begin to
+cost more than the lists.
 
 Texts with equal sets are folded first. In every list each member is compared
 with one centre; what is linked so is one component, and only members of
@@ -27,9 +28,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from netresil.llm.text import chunks, mix, windows, word_hashes, words
+from netresil.llm.text import bound_batches, chunks, mix, windows, word_hashes, words
 from netresil.operators.components import star_labels
-from netresil.session import cut_lineage
+from netresil.session import Scratch, cut_lineage
 
 #: Fixed values of the contract: words per shingle, similarity in hundredths.
 SHINGLE, PERCENT = 4, 85
@@ -37,6 +38,8 @@ SHINGLE, PERCENT = 4, 85
 SLOT_BITS = 20
 #: Cost of scanning one inverted list against storing one subset, and the largest boundary considered.
 SCAN_COST, LARGEST_LIGHT = 5, 24
+#: Shingles of their lists that linked heavy sets share.
+SHARED = 4
 #: Words of the parity bitmap of every set, and of the wide one of sets beyond ``WIDE_FROM`` shingles.
 BITMAP_WORDS, WIDE_BITS, WIDE_FROM = 8, 13, 512
 
@@ -52,8 +55,8 @@ def partners(n: int, percent: int = PERCENT) -> range:
 
 
 def prefix(n, percent: int = PERCENT):
-    """Shingles of which a linked pair shares at least one."""
-    return n - (percent * n + 99) // 100 + 1
+    """Shingles of which a linked pair shares at least ``SHARED``, or as many as its smaller set must share at all."""
+    return np.minimum(n, n - (percent * n + 99) // 100 + SHARED)
 
 
 def subset_sizes(n: int, boundary: int, percent: int = PERCENT) -> list[int]:
@@ -65,7 +68,7 @@ def choose_boundary(sizes: dict[int, int], percent: int = PERCENT) -> int:
 
     def cost(b: int) -> int:
         light = sum(k * sum(comb(n, c) for c in subset_sizes(n, b, percent)) for n, k in sizes.items() if n <= b)
-        return light + sum(k * prefix(n, percent) * SCAN_COST for n, k in sizes.items() if n > b or n >= partners(b + 1, percent)[0])
+        return light + sum(k * int(prefix(n, percent)) * SCAN_COST for n, k in sizes.items() if n > b or n >= partners(b + 1, percent)[0])
 
     return min(range(LARGEST_LIGHT + 1), key=lambda b: (cost(b), b))
 
@@ -197,19 +200,19 @@ def _can_link(n: Column, m: Column, a: Column, b: Column, percent: int) -> Colum
     return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (bits <= _differ(n, m, percent))
 
 
-def _linked(pairs: DataFrame, src: DataFrame, reps: DataFrame, order, percent: int) -> DataFrame:
+def _linked(pairs: DataFrame, src: DataFrame, reps: DataFrame, order, percent: int, scratch: Scratch) -> DataFrame:
     """The pairs ``a, b`` whose sets reach the similarity; only texts in a pair that both bitmaps allow are read in full."""
     side = lambda x: reps.select(F.col("doc").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "bits", "wide")])
     near = pairs.join(side("a"), "a").join(side("b"), "b").where(_can_link(F.col("n_a"), F.col("n_b"), F.col("bits_a"), F.col("bits_b"), percent))
     bits = F.aggregate(F.zip_with("wide_a", "wide_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
     near = near.where(F.coalesce(bits <= _differ(F.col("n_a"), F.col("n_b"), percent), F.lit(True)))
-    near = cut_lineage(near.select("a", "b").distinct())
-    wanted = cut_lineage(near.select(F.col("a").alias("doc")).unionByName(near.select(F.col("b").alias("doc"))).distinct())
-    sets = cut_lineage(src.join(wanted, "doc", "left_semi").mapInArrow(lambda b: _sets(b, order.value), "doc bigint, shingles array<bigint>"))
+    near = scratch.cut(near.select("a", "b").distinct())
+    wanted = scratch.cut(near.select(F.col("a").alias("doc")).unionByName(near.select(F.col("b").alias("doc"))).distinct())
+    sets = scratch.cut(src.join(wanted, "doc", "left_semi").mapInArrow(lambda b: _sets(b, order.value), "doc bigint, shingles array<bigint>"))
     both = near.join(sets.select(F.col("doc").alias("a"), F.col("shingles").alias("x")), "a").join(
         sets.select(F.col("doc").alias("b"), F.col("shingles").alias("y")), "b")
     inter = F.size(F.array_intersect("x", "y"))
-    return cut_lineage(both.where(100 * inter >= percent * (F.size("x") + F.size("y") - inter)).select("a", "b"))
+    return scratch.cut(both.where(100 * inter >= percent * (F.size("x") + F.size("y") - inter)).select("a", "b"))
 
 
 def jaccard_components(texts: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -223,46 +226,59 @@ def jaccard_components(texts: DataFrame, id_col: str = "doc_id", text_col: str =
     are too, and get no component. Repeated rows link with each other; several
     texts under one id are one document, linked by any of them.
     """
-    sc = texts.sparkSession.sparkContext
-    src = texts.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).alias("body"))
+    bound_batches(texts)
+    with Scratch() as scratch:
+        return cut_lineage(_components(texts.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).alias("body")), length, percent, scratch)).withColumnRenamed("doc", id_col)
+
+
+def _components(src: DataFrame, length: int, percent: int, scratch: Scratch) -> DataFrame:
+    sc = src.sparkSession.sparkContext
     counted = src.where("body is not null").mapInArrow(lambda b: _frequent(b, length), "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n"))
     order = sc.broadcast(Order({r["slot"]: r["n"] for r in counted.toLocalIterator()}, length))  # as many slots at most as the table has
     boundary = choose_boundary({n: k for n, k in order.value.sizes.items() if n <= 2 * LARGEST_LIGHT}, percent)
     ddl = "doc bigint, n int, d1 bigint, d2 bigint, bits array<bigint>, wide array<bigint>, keys array<bigint>"
-    described = cut_lineage(src.mapInArrow(lambda b: _describe(b, order.value, boundary, percent), ddl))
+    described = scratch.cut(src.mapInArrow(lambda b: _describe(b, order.value, boundary, percent), ddl))
 
     # Equal sets are one: the smallest id stands for them.
     real = described.where(F.col("doc").isNotNull() & (F.col("n") > 0))
-    folded = real.groupBy("n", "d1", "d2").agg(F.min("doc").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    of = cut_lineage(real.select("doc", "n", "d1", "d2").distinct().join(folded, ["n", "d1", "d2"]).select("doc", "n", "rep", "copies"))
-    reps = cut_lineage(real.join(of.where(F.col("doc") == F.col("rep")).select("doc", "n"), ["doc", "n"]).select("doc", "n", "bits", "wide").dropDuplicates(["doc", "n"]))
-
-    keyed = real.select("doc", F.explode("keys").alias("key"))
-    met = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("key")
-    lists = cut_lineage(keyed.join(met, "key").join(of, "doc").select("key", F.col("rep").alias("doc"), "n", "copies").distinct())
-
-    centre = lists.groupBy("key").agg(F.max(F.struct("copies", (-F.col("doc")).alias("minus"), "n")).alias("c"), F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high")
-    centre = centre.select("key", (-F.col("c.minus")).alias("centre"), F.col("c.n").alias("centre_n"))
-    star = lists.join(centre, "key").where(F.col("doc") != F.col("centre")).where(100 * F.least("n", "centre_n") >= percent * F.greatest("n", "centre_n"))
-    star = star.select(F.least("doc", "centre").alias("a"), F.greatest("doc", "centre").alias("b")).distinct()
-    links = _linked(star, src, reps, order, percent)
+    folded = real.groupBy("n", "d1", "d2").agg(F.min("doc").alias("rep"))
+    of = scratch.cut(real.select("doc", "n", "d1", "d2").distinct().join(folded, ["n", "d1", "d2"]).select("doc", "n", "rep"))
+    reps = scratch.cut(real.join(of.where(F.col("doc") == F.col("rep")).select("doc", "n"), ["doc", "n"]).select("doc", "n", "bits", "wide").dropDuplicates(["doc", "n"]))
+
+    # Lists of two whose sizes can't link are dropped before anything else travels.
+    keyed = real.select("doc", "n", F.explode("keys").alias("key"))
+    met = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.min("n").alias("low"), F.max("n").alias("high"))
+    met = met.where((F.col("k") > 2) | (F.col("k") == 2) & (100 * F.col("low") >= percent * F.col("high"))).select("key")
+    lists = scratch.cut(keyed.select("key", "doc").join(met, "key").select("key", "doc"))
+
+    # A pair of texts stands for the sets they hold. Light sets share one subset, others so many shingles of their lists.
+    least = F.least("n_x", "n_y")
+    enough = F.when(F.greatest("n_x", "n_y") <= boundary, 1).otherwise(F.least(F.lit(SHARED), F.ceil(percent * least / 100.0 - 1e-9)))
+    side = lambda x: of.select(F.col("doc").alias(x), F.col("n").alias(f"n_{x}"), F.col("rep").alias(f"r_{x}"))
+    centre = lists.groupBy("key").agg(F.min("doc").alias("y"))
+    star = lists.select("key", F.col("doc").alias("x")).join(centre, "key").where("x <> y").groupBy("x", "y").agg(F.count(F.lit(1)).alias("shared"))
+    star = star.join(side("x"), "x").join(side("y"), "y").where((F.col("r_x") != F.col("r_y")) & (F.col("shared") >= enough))
+    star = star.select(F.least("r_x", "r_y").alias("a"), F.greatest("r_x", "r_y").alias("b")).distinct()
+    links = _linked(star, src, reps, order, percent, scratch)
     labels = star_labels(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    placed = scratch.cut(of.join(labels.withColumnRenamed("node_id", "rep"), "rep", "left").select("doc", "n", "rep", F.coalesce("component", "rep").alias("component")))
 
-    # What still meets in a list without being connected is compared pair by pair.
-    placed = lists.join(labels.withColumnRenamed("node_id", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-    torn = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-    rest = cut_lineage(placed.join(torn, "key").join(reps.select("doc", "n", "bits"), ["doc", "n"]).select("key", "doc", "n", "component", "bits"))
+    # What still meets without being connected is compared pair by pair.
+    held = lists.join(placed, "doc").select("key", F.col("rep").alias("doc"), "n", "component").distinct()
+    held = scratch.cut(held)
+    torn = held.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
+    rest = scratch.cut(held.join(torn, "key").join(reps.select("doc", "n", "bits"), ["doc", "n"]).select("key", "doc", "n", "component", "bits"))
     left = rest.select("key", *[F.col(c).alias(f"{c}_a") for c in ("doc", "n", "component", "bits")])
     right = rest.select("key", *[F.col(c).alias(f"{c}_b") for c in ("doc", "n", "component", "bits")])
     apart = (F.col("doc_a") < F.col("doc_b")) & (F.col("component_a") != F.col("component_b"))
     fits = _can_link(F.col("n_a"), F.col("n_b"), F.col("bits_a"), F.col("bits_b"), percent)
-    pairs = left.join(right, (left["key"] == right["key"]) & apart & fits).select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b")).distinct()
-    more = _linked(pairs, src, reps, order, percent)
+    pairs = left.join(right, (left["key"] == right["key"]) & apart & fits).groupBy(F.col("doc_a").alias("a"), F.col("doc_b").alias("b")).agg(
+        F.count(F.lit(1)).alias("shared"), F.first("n_a").alias("n_x"), F.first("n_b").alias("n_y")).where(F.col("shared") >= enough).select("a", "b")
+    more = _linked(pairs, src, reps, order, percent, scratch)
     ends = of.groupBy("doc").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high")
     same_id = of.join(ends, "doc").select(F.col("low").alias("a"), F.col("rep").alias("b")).where("a < b")
     joined = star_labels(links.unionByName(more).unionByName(same_id).select(F.col("a").alias("src"), F.col("b").alias("dst")))
 
     known = of.select("doc", "rep").join(joined.withColumnRenamed("node_id", "rep"), "rep", "left").groupBy("doc").agg(F.min(F.coalesce("component", "rep")).alias("component"))
     return described.select("doc", "n").join(known, "doc", "left").select(
-        F.col("doc").alias(id_col), F.col("n").cast("bigint").alias("n_shingles"),
-        F.when(F.col("n") > 0, F.coalesce("component", "doc")).otherwise(F.col("doc")).alias("component_id"))
+        "doc", F.col("n").cast("bigint").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component", "doc")).otherwise(F.col("doc")).alias("component_id"))

@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netresil.llm.text import LOWER, chunks, raw
+from netresil.llm.text import LOWER, bound_batches, chunks, raw
 
 #: Documents per language that the trees are learned from (expected number; the
 #: rows are chosen by a hash of their id). Their texts are counted as a whole.
@@ -162,6 +162,7 @@ def learn(
     per language is the bound. Chosen texts are counted whole, in the tasks;
     the driver receives the counts. Rows without language or text are left out.
     """
+    bound_batches(labelled)
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     sizes = {r[0]: r[1] for r in rows.groupBy(lang_col).count().collect()}
     if not sizes:
@@ -213,6 +214,7 @@ def identify(texts: DataFrame, trees: Trees, text_col: str = "text") -> DataFram
     when nothing could be learned, get ``und``, score 0 and null bits per byte.
     Columns with the new names are replaced.
     """
+    bound_batches(texts)
     new = ("lang_pred", "score", "bits_per_byte")
     keep = [c for c in texts.columns if c not in new]
     if not trees.languages:

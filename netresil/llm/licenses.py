@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netresil.llm.text import IS_ALNUM, Words, chunks, mix, raw, windows, word_hashes, words
+from netresil.llm.text import IS_ALNUM, Words, bound_batches, chunks, mix, raw, windows, word_hashes, words
 
 LENGTH, CONTAINMENT, BANDS = 3, 0.8, 64
 #: Words of templates broadcast at once; more are scanned in several parts.
@@ -183,6 +183,7 @@ def license_scan(
     ``template_words`` (counted by their spaces) they are scanned in parts, one
     after the other within the same task.
     """
+    bound_batches(texts)
     given = templates.where(F.col(license_col).isNotNull() & F.col(template_col).isNotNull()).select(
         F.col(license_col).cast("string").alias("license"), F.col(template_col).alias("body")).distinct()
     total = given.agg(F.sum(F.length("body") - F.length(F.replace("body", F.lit(" "), F.lit(""))) + 1)).first()[0] or 0

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from netresil.llm.language import Index
-from netresil.llm.text import chunks, mix, word_hashes, words
+from netresil.llm.text import bound_batches, chunks, mix, word_hashes, words
 from netresil.session import cut_lineage
 
 #: Words with at least this share of all tokens have weights, or travel with their counts.
@@ -244,6 +244,7 @@ def _word_table(model: Model, pairs: np.ndarray) -> np.ndarray:
 
 def train(texts: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> tuple[Model, DataFrame]:
     """The model, and the counts (``token``, ``ending``, ``n``) of all training tokens."""
+    bound_batches(texts)
     src = texts.select(F.col(text_col).alias("body"), F.pmod(F.xxhash64(F.lit("round"), F.col(id_col)), F.lit(rounds)).alias("round"))
     seen = src.select("body").mapInArrow(_count, "token bigint, ending int, n bigint")
     counts = cut_lineage(seen.groupBy("token").agg(F.first("ending").alias("ending"), F.sum("n").alias("n")))
@@ -311,6 +312,7 @@ def score(texts: DataFrame, trained: tuple[Model, DataFrame], text_col: str = "t
     probability under the model. Without training tokens both are 0 and nothing
     is known. Columns with the new names are replaced.
     """
+    bound_batches(texts)
     model, counts = trained
     new = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
     keep = [c for c in texts.columns if c not in new]

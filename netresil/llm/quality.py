@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netresil.llm.text import SPACES, Words, chunks, mix, word_hashes, words
+from netresil.llm.text import SPACES, Words, bound_batches, chunks, mix, word_hashes, words
 
 #: Expected number of labelled texts the space is fitted on and that vote.
 LABELLED = 4000
@@ -132,6 +132,7 @@ def learn(
     number that is broadcast. Rows with a null label or id are left out; null
     texts count as empty.
     """
+    bound_batches(texts)
     marked = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"))
     n = marked.count()
     if not n:
@@ -160,6 +161,7 @@ def score(texts: DataFrame, voters: Voters | None, text_col: str = "text") -> Da
     voters, as do all texts when nothing could be learned (0.5). A column named
     ``score`` is replaced.
     """
+    bound_batches(texts)
     keep = [c for c in texts.columns if c != "score"]
     if voters is None:
         return texts.select(*keep, F.lit(0.5).alias("score"))

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netresil.llm.text import chunks, mix, sliding_min, strings, windows, word_hashes, words
+from netresil.llm.text import bound_batches, chunks, mix, sliding_min, strings, windows, word_hashes, words
 
 WINDOW = 20
 #: Bytes of text whose repeats are settled together before anything is sent.
@@ -240,6 +240,7 @@ def repeated_runs(texts: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Earlier is a smaller id, or the same id and an earlier word. Rows without id
     or text have no windows; several texts under one id count as one text.
     """
+    bound_batches(texts)
     spark = texts.sparkSession
     src = texts.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).alias("body"))
     buckets = 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))

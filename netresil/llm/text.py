@@ -8,6 +8,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 
 #: Bytes of text worked on at once; a longer text is a chunk of its own.
 CHUNK = 1 << 20
@@ -28,6 +29,18 @@ _STEP = np.uint64(0x9E3779B97F4A7C15)
 _KEEP = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
+#: Bytes of one Arrow batch; Spark's default of 64 MB is held several times per task.
+BATCH = 4 << 20
+
+
+def bound_batches(df: DataFrame) -> None:
+    """Have the session send texts to Python in batches of at most ``BATCH`` bytes (or one row)."""
+    name, conf = "spark.sql.execution.arrow.maxBytesPerBatch", df.sparkSession.conf
+    held = conf.get(name).strip().lower().removesuffix("b")
+    if not held.isdigit() or int(held) > BATCH:
+        conf.set(name, str(BATCH))
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Finalizer of a 64-bit hash: every input bit reaches every output bit."""
     x = x ^ (x >> _R)

@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from netresil.llm.text import bound_batches
+
 #: Fixed value: the pattern of the byte-level pre-tokenizer.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -115,6 +117,7 @@ def token_counts(texts: DataFrame, tokenizer_path: str, text_col: str = "text")
     count as one token each, the library's default. Null and empty texts have
     none. Columns with the new names are replaced.
     """
+    bound_batches(texts)
     counter = TokenCounter(tokenizer_path)
     keep = [c for c in texts.columns if c not in ("n_bytes", "n_tokens")]
     n_bytes = F.coalesce(F.octet_length(text_col), F.lit(0)).cast("bigint").alias("n_bytes")
