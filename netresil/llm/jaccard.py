@@ -3,8 +3,8 @@
 A size-aware heavy-light join. Sets up to a boundary are light: they list all
 subsets of the sizes that a linked light partner must share, and two of them
 meet where a subset is equal. Larger sets are heavy: they meet in inverted lists
-over the first ``n - ceil(t n) + s`` shingles in one global order (frequent ones
-last), of which a linked pair shares at least ``s``; pairs that share fewer are
+over the first ``n - ceil(t n) + s`` shingles in one global order (those with a
+rare word first), of which a linked pair shares at least ``s``; pairs that share fewer are
 no candidates. The boundary is the size at which the listed subsets begin to
 cost more than the lists.
 
@@ -28,14 +28,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from netresil.llm.text import bound_batches, chunks, mix, windows, word_hashes, words
+from netresil.llm.text import bound_batches, chunks, mix, sliding_min, windows, word_hashes, words
 from netresil.operators.components import star_labels
 from netresil.session import Scratch, cut_lineage
 
 #: Fixed values of the contract: words per shingle, similarity in hundredths.
 SHINGLE, PERCENT = 4, 85
-#: Slots of the table that finds frequent shingles.
-SLOT_BITS = 20
+#: Slots of the table that counts words, and how often a slot must be met in a task to be told of.
+SLOT_BITS, MET = 20, 8
+_WORDS = -1_000_000
 #: Cost of scanning one inverted list against storing one subset, and the largest boundary considered.
 SCAN_COST, LARGEST_LIGHT = 5, 24
 #: Shingles of their lists that linked heavy sets share.
@@ -73,22 +74,28 @@ def choose_boundary(sizes: dict[int, int], percent: int = PERCENT) -> int:
     return min(range(LARGEST_LIGHT + 1), key=lambda b: (cost(b), b))
 
 
-def _shingles(column: pa.Array, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingle hashes in the order of the texts, and the bounds of each text's."""
+def _shingles(column: pa.Array, length: int, rank: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Shingle hashes in the order of the texts, and the bounds of each text's.
+
+    With ``rank`` (by slot of a word) the top four bits give way to the rank of
+    the shingle's rarest word.
+    """
     w = words(column, fold=True)
     h = word_hashes(w)
     count = np.diff(w.bounds)
     n = np.where(count >= length, count - length + 1, np.minimum(count, 1))
     bounds = np.concatenate(([0], np.cumsum(n)))
     out = np.zeros(bounds[-1], np.uint64)
-    whole = windows(h, length)
+    r = None if rank is None else rank[_slot(h)]
+    top = lambda x, least: x if least is None else (x >> np.uint64(4)) | (least.astype(np.uint64) << np.uint64(60))
+    whole = top(windows(h, length), None if r is None or len(r) < length else sliding_min(r, length))
     long = count >= length
     if long.any():
         at = np.arange(int(n[long].sum())) - np.repeat(np.cumsum(n[long]) - n[long], n[long])
         out[np.repeat(bounds[:-1][long], n[long]) + at] = whole[np.repeat(w.bounds[:-1][long], n[long]) + at]
     for d in np.flatnonzero(~long & (count > 0)):
         a, b = w.bounds[d], w.bounds[d + 1]
-        out[bounds[d]] = windows(h[a:b], int(b - a))[0]
+        out[bounds[d]] = top(windows(h[a:b], int(b - a)), None if r is None else r[a:b].min(keepdims=True))[0]
     return out, bounds
 
 
@@ -97,32 +104,38 @@ def _slot(h: np.ndarray) -> np.ndarray:
 
 
 def _frequent(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Slots that stand out in a task, and (as negative slots) how many small sets there are of each size."""
+    """Word slots met at least ``MET`` times in a task; as negative slots, how many sets there are of each small size, and the words."""
     table, small = np.zeros(1 << SLOT_BITS, np.int64), np.zeros(2 * LARGEST_LIGHT + 2, np.int64)
     for batch in chunks(batches, "body"):
-        h, bounds = _shingles(batch.column("body"), length)
-        table += np.bincount(_slot(h), minlength=len(table))
-        small += np.bincount(np.minimum(np.diff(bounds), len(small) - 1), minlength=len(small))
-    hot = np.flatnonzero(table >= 4 * table.mean() + 8)
-    slots = np.concatenate((hot, -1 - np.arange(len(small))))
-    yield pa.RecordBatch.from_pydict({"slot": pa.array(slots.astype(np.int32)), "n": pa.array(np.concatenate((table[hot], small)))})
+        w = words(batch.column("body"), fold=True)
+        table += np.bincount(_slot(word_hashes(w)), minlength=len(table))
+        count = np.diff(w.bounds)
+        small += np.bincount(np.minimum(np.where(count >= length, count - length + 1, np.minimum(count, 1)), len(small) - 1), minlength=len(small))
+    hot = np.flatnonzero(table >= MET)
+    slots = np.concatenate((hot, -1 - np.arange(len(small)), [_WORDS]))
+    yield pa.RecordBatch.from_pydict({"slot": pa.array(slots.astype(np.int32)), "n": pa.array(np.concatenate((table[hot], small, [table.sum()])))})
 
 
 class Order:
-    """The global order of shingles: rarely met ones first, then by hash."""
+    """The global order of shingles: by how rare their rarest word is, then by hash.
+
+    Any order serves, as long as it is one; rare first keeps lists short. The
+    rank of a word is the logarithm of its share of all words, from about one in
+    two million on.
+    """
 
     def __init__(self, counts: dict[int, int], length: int):
         self.length = length
-        self.sizes = {-1 - s: n for s, n in counts.items() if s < 0 and n and s != -1}
+        self.sizes = {-1 - s: n for s, n in counts.items() if _WORDS < s < -1 and n}
         self.rank = np.zeros(1 << SLOT_BITS, np.uint8)
+        total = max(1, counts.get(_WORDS, 1))
         for slot, n in counts.items():
             if slot >= 0:
-                self.rank[slot] = min(15, max(1, int(n).bit_length() - 3))
+                self.rank[slot] = min(15, max(1, int(np.log2(n / total)) + 20))
 
     def sets(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Distinct shingles of each text in the global order (rank in the top four bits), and their bounds."""
-        h, bounds = _shingles(column, self.length)
-        h = (h >> np.uint64(4)) | (self.rank[_slot(h)].astype(np.uint64) << np.uint64(60))
+        h, bounds = _shingles(column, self.length, self.rank)
         for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
             h[a:b].sort()
         new = np.ones(len(h), bool)
