@@ -280,7 +280,20 @@ def _(spark, sf):
 VEC = "case when p_partkey % 5 = 0 then stem when p_partkey % 5 = 1 then replace(stem, 'PS-RGB', 'geojson_roads') when p_partkey % 5 = 2 then 'v_' || stem || '_x' when p_partkey % 5 = 3 then 'roads_' || cast(p_partkey as varchar(20)) end"
 
 
-@query("jon13_fuzzy_match_tiles")
+TOKENS = "values " + ", ".join(f"('{a}', '{b}', {1 + i * len(CT.VECTOR_TOKENS) + j})" for i, a in enumerate(CT.IMAGE_TOKENS) for j, b in enumerate(CT.VECTOR_TOKENS))
+
+
+@query("jon13_fuzzy_match_tiles", f"""
+, t as (select p_partkey, concat(stem, '_', cast(p_partkey as varchar(20))) as stem from fx_tiles),
+img as (select distinct stem from t), vec as (select distinct v as vector from (select {VEC} as v from t) q where v is not null),
+part as (select stem, string_split(replace(stem, '-', '_'), '_') as p from img),
+tail as (select stem, n + 20 as priority, array_to_string(p[len(p) - n + 1 : len(p)], '_') as part from part, (values (1), (2), (3), (4)) k(n) where len(p) >= n),
+digit as (select stem, k, p[len(p) - k] as part from (select stem, p, unnest(range(len(p))) as k from part) q where regexp_full_match(p[len(p) - k], '[0-9]+')),
+every as (select stem, vector, 0 as priority from img join vec on stem = vector
+  union all select stem, vector, x.i from img, ({TOKENS}) x(a, b, i) join vec on vector = replace(stem, a, b)
+  union all select stem, vector, priority from tail join vec on contains(vector, part)
+  union all select stem, vector, cast(30 + k as int) from digit join vec on suffix(vector, part))
+select stem, arg_min(vector, (priority, vector)) as vector, cast(min(priority) as int) as priority from every group by stem""")
 def _(spark, sf):
     t = fx(spark, sf, "fx_tiles").withColumn("stem", F.concat("stem", F.lit("_"), F.col("p_partkey").cast("string")))
     vec = t.select(F.expr(VEC.replace("varchar(20)", "string")).alias("stem")).where("stem is not null")
