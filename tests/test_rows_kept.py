@@ -88,15 +88,15 @@ def test_segments_near_zones_are_met_once(spark):
 
 
 def test_paths_double_their_way_back(spark):
-    nodes, edges = line(spark, 70)
-    od = spark.createDataFrame([(1, 0, 69), (2, 5, 6), (3, 9, 9)], "query_id bigint, src bigint, dst bigint")
+    nodes, edges = line(spark, 14)
+    od = spark.createDataFrame([(1, 0, 13), (2, 5, 6), (3, 9, 9)], "query_id bigint, src bigint, dst bigint")
     _, paths = RT.shortest_paths(od.where("src <> dst"), nodes, edges, "length_m")
     got = {q: [r["node_id"] for r in sorted((x for x in paths.collect() if x["query_id"] == q), key=lambda x: x["seq"])] for q in (1, 2)}
-    assert got == {1: list(range(70)), 2: [5, 6]}
+    assert got == {1: list(range(14)), 2: [5, 6]}
 
 
 def test_requests_become_answers(spark):
-    nodes, edges = line(spark, 12)
+    nodes, edges = line(spark, 8)
     lon, lat = utm_to_wgs84(F.col("x"), F.col("y"))
     at = {r["node_id"]: (r["lat"], r["lon"]) for r in nodes.select("node_id", lat.alias("lat"), lon.alias("lon")).collect()}
     ask = [
@@ -110,11 +110,11 @@ def test_requests_become_answers(spark):
     assert abs(got[1]["route_coords"][0][1] - at[0][0]) < 1e-7 and abs(got[1]["route_coords"][-1][0] - at[5][1]) < 1e-7
     assert "within 100 m" in got[3]["message"] and got[4]["message"] == "missing start_lat" and "wishes" in got[5]["message"]
     assert got[2]["avg_congestion_multiplier"] == 1.0 and len(got[2]["route_coords"]) == 1
-    sim = spark.createDataFrame([(1, *at[5], *at[0], *at[11], 120.0, 500.0), (2, None, 72.0, *at[0], *at[11], None, None)],
+    sim = spark.createDataFrame([(1, *at[4], *at[0], *at[7], 120.0, 500.0), (2, None, 72.0, *at[0], *at[7], None, None)],
                                 "query_id bigint, lat double, lon double, start_lat double, start_lon double, end_lat double, end_lon double, radius_m double, max_snap_dist_m double")
     out = {r["query_id"]: r for r in simulate(sim, nodes, edges).collect()}
-    assert out[1]["status"] == "success" and out[1]["edges_removed"] == 4 and out[1]["safe_status"] == "isolated" and out[1]["normal_distance_km"] == 1.1
-    assert len(out[1]["normal_route_coords"]) == 12 and out[2]["status"] == "error" and out[2]["message"] == "missing lat"
+    assert out[1]["status"] == "success" and out[1]["edges_removed"] == 4 and out[1]["safe_status"] == "isolated" and out[1]["normal_distance_km"] == 0.7
+    assert len(out[1]["normal_route_coords"]) == 8 and out[2]["status"] == "error" and out[2]["message"] == "missing lat"
 
 
 def test_parallel_edge_of_key_zero(spark):
