@@ -21,6 +21,8 @@ own), and
 Texts are scored in blocks of sparse rows gathered by numpy. What is broadcast
 is bounded by parameters: the weights, the words that make up at least a
 ``1 / MODELLED`` or ``1 / KNOWN`` of all tokens. Counts of rarer words are joined.
+The feature tables do not grow with the text: more histories share a row, and
+words below ``1 / MODELLED`` see no context (figures in the README).
 
 Road-network records hold no running text, so the operator is general.
 """
