@@ -13,12 +13,20 @@ each, ``BANDS`` of them miss it with probability (1 - c / 4) ** BANDS: for
 c = 0.8 and 64 bands less than one in a million. What is retrieved is verified
 by exact containment of the template's shingles in the window.
 
+Containment alone can't tell siblings apart: the notices of two versions, or of
+the GPL and the LGPL, share most shingles. A template may therefore have marks,
+phrases that must stand in the window word for word. For a notice of one sentence
+that is the whole notice, for a full text its title or the clause that its
+siblings lack. Where one template holds another (BSD-3 holds BSD-2, the notice
+with a version the one without), the larger is reported.
+
 Road-network records hold no running text, so the operator is general.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -50,11 +58,65 @@ NOTICES = {
 }
 
 
+_PROGRAM = "is free software: you can redistribute it and/or modify it under the terms of the GNU"
+_FSF = "as published by the Free Software Foundation"
+
+#: Further notices of one sentence, of the siblings of those above.
+FURTHER = [
+    *((f"gpl-{v}", f"This work is licensed under the GNU General Public License, version {v[0]}.") for v in ("1.0", "2.0")),
+    *((f"{k}-{v}", f"This work is licensed under the GNU {name} General Public License, version {n}.")
+      for k, name, v, n in (("lgpl", "Lesser", "2.1", "2.1"), ("lgpl", "Lesser", "3.0", "3"), ("agpl", "Affero", "3.0", "3"))),
+    *((f"{k}-notice", f"This {what} {_PROGRAM} {name} General Public License {_FSF}")
+      for k, name in (("lgpl", "Lesser"), ("agpl", "Affero")) for what in ("program", "library")),
+    ("gpl-notice", f"This library {_PROGRAM} General Public License {_FSF}"),
+    *((f"{k}-{v}-{'or-later' if later else 'only'}", f"This {what} {_PROGRAM} {name} General Public License {_FSF}{comma} {'either ' if later else ''}version {n} of the License{', or (at your option) any later version' if later else ''}")
+      for k, name, v, n in (("gpl", "", "2.0", "2"), ("gpl", "", "3.0", "3"), ("lgpl", "Lesser", "2.1", "2.1"), ("lgpl", "Lesser", "3.0", "3"), ("agpl", "Affero", "3.0", "3"))
+      for what in ("program", "library") for later, comma in ((True, ";"), (False, ","))),
+    *((f"cc-{k}-4.0", f"This work is licensed under a Creative Commons Attribution-{name} 4.0 International License.")
+      for k, name in (("by-nd", "NoDerivatives"), ("by-nc", "NonCommercial"), ("by-nc-sa", "NonCommercial-ShareAlike"), ("by-nc-nd", "NonCommercial-NoDerivatives"))),
+    *((f"cc-{k.lower()}-4.0", f"Licensed under CC {k} 4.0.") for k in ("BY", "BY-SA", "BY-ND", "BY-NC-SA", "BY-NC-ND")),
+]
+
+#: Full texts (``license_texts``) and the phrase that tells each from its siblings.
+FULL = {
+    "apache-2.0": "Apache License Version 2.0, January 2004",
+    "artistic-1.0": "The intent of this document is to state the conditions under which a Package may be copied",
+    "bsd-2-clause": "Redistributions in binary form must reproduce the above copyright notice",
+    "bsd-3-clause": "may be used to endorse or promote products derived from this software",
+    "bsd-4-clause": "All advertising materials mentioning features or use of this software",
+    "cc-by-sa-4.0": "Creative Commons Attribution-ShareAlike 4.0 International Public License",
+    "cc0-1.0": "CC0 1.0 Universal",
+    "epl-1.0": "Eclipse Public License - v 1.0",
+    "gfdl-1.2": "GNU Free Documentation License Version 1.2, November 2002",
+    "gfdl-1.3": "GNU Free Documentation License Version 1.3, 3 November 2008",
+    "gpl-1.0": "GNU General Public License Version 1, February 1989",
+    "gpl-2.0": "GNU General Public License Version 2, June 1991",
+    "gpl-3.0": "GNU General Public License Version 3, 29 June 2007",
+    "isc": "with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies",
+    "lgpl-2.0": "GNU Library General Public License Version 2, June 1991",
+    "lgpl-2.1": "GNU Lesser General Public License Version 2.1, February 1999",
+    "lgpl-3.0": "GNU Lesser General Public License Version 3, 29 June 2007",
+    "mit": "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software",
+    "mpl-1.1": "Mozilla Public License Version 1.1",
+    "mpl-2.0": "Mozilla Public License Version 2.0",
+    "unlicense": "This is free and unencumbered software released into the public domain",
+    "zlib": "Altered source versions must be plainly marked as such",
+}
+
+
 def notices(spark: SparkSession) -> DataFrame:
-    """The notices above as ``license, text``."""
+    """The notices of the first list as ``license, text``."""
     return spark.createDataFrame(list(NOTICES.items()), "license string, text string")
 
 
+def known_licenses(spark: SparkSession) -> DataFrame:
+    """All notices and full texts as ``license, text, mark``; a notice is its own mark."""
+    at = Path(__file__).parent / "license_texts"
+    short = [(name, text, text) for name, text in [*NOTICES.items(), *FURTHER]]
+    full = [(name, (at / f"{name}.txt").read_text(encoding="utf-8"), mark) for name, mark in FULL.items()]
+    return spark.createDataFrame(short + full, "license string, text string, mark string")
+
+
 def _shingles(w: Words, size: int) -> np.ndarray:
     """Hash of the ``size`` words from each word on; ``_NONE`` where the text ends before."""
     out = np.full(len(w), _NONE, np.uint64)
@@ -71,21 +133,37 @@ def _level(n: int) -> int:
 
 
 class Templates:
-    """Shingles and band values of all templates, by shingle size and class."""
+    """Shingles and band values of all templates, by shingle size and class; words of their marks."""
 
-    def __init__(self, rows: list[tuple[str, str]], length: int, bands: int):
+    def __init__(self, rows: list[tuple[str, str, str | None]], length: int, bands: int, containment: float = CONTAINMENT):
         self.seeds = mix(np.arange(1, bands + 1, dtype=np.uint64)) | np.uint64(1)
-        self.names, self.sets, self.groups = [], [], {}
-        w = words(pa.array([t for _, t in rows], pa.string()), True, IS_ALNUM)
+        self.names, self.sets, self.groups, self.marks, self.whole = [], [], {}, [], []
+        w = words(pa.array([r[1] for r in rows], pa.string()), True, IS_ALNUM)
         count = np.diff(w.bounds)
+        m = words(pa.array([r[2] for r in rows], pa.string()), True, IS_ALNUM)
+        marked, hashes = word_hashes(m), word_hashes(w)
+        shingles, of = {}, []
         for size in range(1, length + 1):
-            all_shingles = _shingles(w, size) if len(w) else np.zeros(0, np.uint64)
+            shingles[size] = all_shingles = _shingles(w, size) if len(w) else np.zeros(0, np.uint64)
             for d in np.flatnonzero(np.minimum(count, length) == size).tolist():
                 own = all_shingles[w.bounds[d] : w.bounds[d + 1]]
                 own = np.unique(own[own != _NONE])
                 self.groups.setdefault(size, {}).setdefault(_level(int(count[d])), []).append(len(self.sets))
                 self.names.append(rows[d][0])
                 self.sets.append(own)
+                mark = marked[m.bounds[d] : m.bounds[d + 1]]
+                self.marks.append(mark)
+                self.whole.append(np.array_equal(mark, hashes[w.bounds[d] : w.bounds[d + 1]]))
+                of.append((d, size))
+        # A marked template isn't reported where a larger one stands that would match it by itself.
+        self.explains: list[set] = [set() for _ in self.sets]
+        for t, (_, size) in enumerate(of):
+            if len(self.marks[t]):
+                for u, (d, _) in enumerate(of):
+                    if len(self.marks[u]) and count[d] > count[of[t][0]]:
+                        held = shingles[size][w.bounds[d] : w.bounds[d + 1]]
+                        if np.isin(self.sets[t], held).mean() >= (1.0 if self.whole[t] else containment):
+                            self.explains[u].add(t)
         self.bands = {}
         for size, levels in self.groups.items():
             for level, members in levels.items():
@@ -129,12 +207,21 @@ class Templates:
         return found
 
 
+def _stands(held: np.ndarray, mark: np.ndarray) -> np.ndarray:
+    """Where the words of a mark stand one after the other."""
+    at = np.flatnonzero(held[: max(0, len(held) - len(mark) + 1)] == mark[0])
+    for j in range(1, len(mark)):
+        at = at[held[at + j] == mark[j]]
+    return at
+
+
 def _find(column: pa.Array, templates: Templates, containment: float) -> list[list[dict]]:
     w = words(column, True, IS_ALNUM)
     out: list[list[dict]] = [[] for _ in range(len(w.bounds) - 1)]
     if not len(w):
         return out
     best: dict = {}
+    hashes = word_hashes(w)
     for size in templates.groups:
         shingles = _shingles(w, size)
         for level, pairs in templates.candidates(w, size, shingles).items():
@@ -143,6 +230,16 @@ def _find(column: pa.Array, templates: Templates, containment: float) -> list[li
                 share = np.isin(templates.sets[t], held).mean()
                 if share < containment:
                     continue
+                mark = templates.marks[t]
+                if len(mark):
+                    at = _stands(hashes[start : start + len(held)], mark)
+                    if not len(at):
+                        continue
+                    if templates.whole[t]:
+                        kept = best.setdefault((doc, t), [])
+                        known = {m[0] for m in kept}
+                        kept += [[a, a + len(mark), 1.0] for a in (at + start).tolist() if a not in known]
+                        continue
                 at = np.flatnonzero(np.isin(held, templates.sets[t]))
                 first, last = start + int(at[0]), start + int(at[-1]) + size
                 kept = best.setdefault((doc, t), [])
@@ -153,6 +250,12 @@ def _find(column: pa.Array, templates: Templates, containment: float) -> list[li
                         break
                 else:
                     kept.append([first, last, share])
+    larger: dict = {}
+    for (doc, t), runs in best.items():
+        for x in templates.explains[t]:
+            larger.setdefault((doc, x), []).extend(runs)
+    for key in larger.keys() & best.keys():
+        best[key] = [m for m in best[key] if not any(m[0] < y[1] and y[0] < m[1] for y in larger[key])]
     if best:
         data, offsets = raw(column)
         chars = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
@@ -169,7 +272,7 @@ _DDL = "licenses array<struct<license:string,start:int,stop:int,containment:doub
 
 def license_scan(
     texts: DataFrame, templates: DataFrame, text_col: str = "text", license_col: str = "license", template_col: str = "text",
-    length: int = LENGTH, containment: float = CONTAINMENT, bands: int = BANDS, template_words: int = TEMPLATE_WORDS,
+    length: int = LENGTH, containment: float = CONTAINMENT, bands: int = BANDS, template_words: int = TEMPLATE_WORDS, mark_col: str | None = None,
 ) -> DataFrame:
     """All columns of ``texts`` with ``licenses``: what was found, in the order of the text.
 
@@ -179,13 +282,19 @@ def license_scan(
     texts, templates without id, text or words, match nothing; a repeated
     template counts once. A column named ``licenses`` is replaced.
 
+    With ``mark_col`` a template matches only where the words of its mark stand
+    too; one whose mark is its whole text must stand word for word, and each
+    place is a match. A marked template is left out where a larger one of the
+    same part overlaps that holds it. A null or empty mark asks for nothing.
+
     Templates are collected and broadcast; their size is checked, and beyond
     ``template_words`` (counted by their spaces) they are scanned in parts, one
     after the other within the same task.
     """
     bound_batches(texts)
     given = templates.where(F.col(license_col).isNotNull() & F.col(template_col).isNotNull()).select(
-        F.col(license_col).cast("string").alias("license"), F.col(template_col).alias("body")).distinct()
+        F.col(license_col).cast("string").alias("license"), F.col(template_col).alias("body"),
+        (F.col(mark_col) if mark_col else F.lit(None)).cast("string").alias("mark")).distinct()
     total = given.agg(F.sum(F.length("body") - F.length(F.replace("body", F.lit(" "), F.lit(""))) + 1)).first()[0] or 0
     parts = max(1, -(-total // template_words))
     keep = [c for c in texts.columns if c != "licenses"]
@@ -193,7 +302,7 @@ def license_scan(
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in texts.select(*keep).schema.fields)
     for part in range(parts):
         mine = given if parts == 1 else given.where(F.pmod(F.xxhash64("license", "body"), F.lit(parts)) == part)
-        held = texts.sparkSession.sparkContext.broadcast(Templates(sorted((r[0], r[1]) for r in mine.toLocalIterator()), length, bands))
+        held = texts.sparkSession.sparkContext.broadcast(Templates(sorted(((r[0], r[1], r[2]) for r in mine.toLocalIterator()), key=lambda r: (r[0], r[1], r[2] or "")), length, bands, containment))
         last = part == parts - 1
 
         def scan(batches: Iterator[pa.RecordBatch], held=held, first=part == 0, last=last) -> Iterator[pa.RecordBatch]:

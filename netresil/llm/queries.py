@@ -80,7 +80,7 @@ def op6(spark, sf_dir):
 @query("op7_licenses")
 def op7(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = licenses.license_scan(docs, licenses.notices(spark))
+    found = licenses.license_scan(docs, licenses.known_licenses(spark), mark_col="mark")
     names = F.array_sort(F.array_distinct(F.transform("licenses", lambda m: m["license"])))
     return found.select(
         "doc_id", F.size("licenses").cast("bigint").alias("n_matches"), F.concat_ws(",", names).alias("licenses"),

@@ -1,6 +1,7 @@
 import hashlib
 import json
 import random
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -430,3 +431,21 @@ def test_license_query_finds_every_planted_notice(spark):
         lines = (d["text"] or "").split("\n")
         assert got[d["doc_id"]] == {n for n, t in licenses.NOTICES.items() if any(line.strip() == t for line in lines)} | (got[d["doc_id"]] if any(t[:-1] in (d["text"] or "") for t in licenses.NOTICES.values()) else set())
     assert any(got.values())
+
+
+def test_license_siblings_are_told_apart(spark):
+    at = Path(licenses.__file__).parent / "license_texts"
+    full = {n: (at / f"{n}.txt").read_text(encoding="utf-8") for n in licenses.FULL}
+    lead = "This work is licensed under the GNU"
+    affero = full["gpl-3.0"].replace("GNU GENERAL PUBLIC LICENSE\n", "GNU AFFERO GENERAL PUBLIC LICENSE\n", 1).replace("29 June 2007", "19 November 2007").replace("GNU General", "GNU Affero General")
+    cases = {
+        f"{lead} General Public License, version 2.": "gpl-2.0", f"{lead} Lesser General Public License, version 3.": "lgpl-3.0",
+        f"{lead} Affero General Public License, version 3.": "agpl-3.0", f"{lead} General Public License, version 3.": "gpl-3.0",
+        **{t: n for n, t in licenses.FURTHER}, licenses.NOTICES["cc-by-sa-4.0"]: "cc-by-sa-4.0", licenses.NOTICES["bsd"]: "bsd",
+        **{t: n for n, t in full.items()}, affero: "agpl-3.0-or-later", full["bsd-3-clause"].replace("University", "copyright holder"): "bsd-3-clause",
+    }
+    names = list(cases.items())
+    frame = spark.createDataFrame([(i, f"Some words before.\n{t}\nand words after") for i, (t, _) in enumerate(names)], "doc_id int, text string")
+    found = licenses.license_scan(frame, licenses.known_licenses(spark), mark_col="mark").collect()
+    got = {r["doc_id"]: sorted({m["license"] for m in r["licenses"]}) for r in found}
+    assert {t[:90]: got[i] for i, (t, _) in enumerate(names)} == {t[:90]: [n] if n else [] for t, n in names}
