@@ -9,8 +9,9 @@ on up to ``window`` or until no candidates survive.
 * The window of ``n`` words that stands for one of ``2 n`` is the one with the
   smallest hash among the ``n + 1`` inside it, the leftmost of equals. Equal long
   windows agree on it, so about one short window in ``n / 2`` has to be sent.
-* Each short window carries a tag for every longer window it stands for, so a
-  candidate is extended without reading the texts again.
+* Each short window carries the 64-bit hash of every longer window it stands for,
+  so a candidate is extended without reading the texts again. Long windows are the
+  same where both hashes are, that of the short window and that of the long one.
 * Where a short window is frequent in all texts together (found by a counting
   table of fixed size), the longer windows are dealt out by themselves, so no
   task receives all of a hot passage; repeats within one block of text are
@@ -35,11 +36,8 @@ WINDOW = 20
 BLOCK = 8 << 20
 #: Slots of the counting table; a broadcast of 4 bytes each.
 SLOT_BITS = 20
-#: Bytes of a tag; with the hash of the short window (8 bytes) and its place they identify a window.
-TAG = 5
-
-_PIECE = "bucket int, doc binary, place binary, short binary, offset binary, tag binary"
-_NAMES = ["bucket", "doc", "place", "short", "offset", "tag"]
+_PIECE = "bucket int, doc binary, place binary, short binary, count binary, tag binary"
+_NAMES = ["bucket", "doc", "place", "short", "count", "tag"]
 
 
 def _levels(window: int) -> tuple[int, int]:
@@ -98,11 +96,16 @@ def _hot_slots(src: DataFrame, window: int) -> np.ndarray:
     return hot
 
 
-def _settle(doc, place, key):
-    """Order by key, text and place; True where the same key starts earlier, in another text or place."""
-    order = np.argsort(key, kind="stable") if _ordered(doc, place) else np.lexsort((place, doc, key))
-    d, p, k = doc[order], place[order], key[order]
-    same = np.concatenate(([False], k[1:] == k[:-1]))
+def _settle(doc, place, long, short):
+    """Order by both hashes, text and place; True where the same window starts earlier, in another text or place."""
+    order = np.argsort(long, kind="stable") if _ordered(doc, place) else np.lexsort((place, doc, long))
+    same = long[order][1:] == long[order][:-1]
+    if np.any(same & (short[order][1:] != short[order][:-1])):
+        # Different windows with the same long hash: told apart by the short one.
+        order = np.lexsort((place, doc, short, long))
+        same = (long[order][1:] == long[order][:-1]) & (short[order][1:] == short[order][:-1])
+    d, p = doc[order], place[order]
+    same = np.concatenate(([False], same))
     first = np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))
     # A row repeated with its id is the same text: its windows aren't earlier than themselves.
     return order, same & ((d != d[first]) | (p != p[first]))
@@ -121,7 +124,7 @@ def _pieces(batches: Iterator[pa.RecordBatch], window: int, hot: np.ndarray, buc
         if not _ordered(doc, place):
             by = np.lexsort((place, doc))
             doc, place, long, short, offset = (x[by] for x in (doc, place, long, short, offset))
-        order, again = _settle(doc, place, long)
+        order, again = _settle(doc, place, long, short)
         known = np.zeros(len(doc), bool)
         known[order] = again
         own = np.where(hot[(mix(short) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)], long, short)
@@ -142,6 +145,17 @@ def _pieces(batches: Iterator[pa.RecordBatch], window: int, hot: np.ndarray, buc
         yield from flush()
 
 
+def _thin(x: np.ndarray) -> bytes:
+    """Whole numbers in as few bytes each as the largest needs; the first byte says how many."""
+    top = int(x.max())
+    width = 1 if top < 1 << 8 else 2 if top < 1 << 16 else 4 if top < 1 << 32 else 8
+    return bytes([width]) + x.astype(f"<u{width}").tobytes()
+
+
+def _thick(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, f"<u{data[0]}", offset=1).astype(np.uint64)
+
+
 def _pack(bucket, doc, place, long, short, offset) -> Iterator[pa.RecordBatch]:
     """One row per bucket with columns of runs: windows of one text that stand side by side under one short window."""
     small = bucket.max() < 0x7FFF
@@ -152,19 +166,17 @@ def _pack(bucket, doc, place, long, short, offset) -> Iterator[pa.RecordBatch]:
     head[1:] = ~(side & ((bucket[1:] < 0) | ((short[1:] == short[:-1]) & (offset[1:] == offset[:-1] - 1))))
     at = np.flatnonzero(head)
     count = np.diff(np.append(at, len(bucket)))
-    tags = np.ascontiguousarray(long.view(np.uint8).reshape(-1, 8)[:, :TAG])
     edge = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
     run_edge = np.append(np.searchsorted(at, edge), len(at)).tolist()
     edge = np.append(edge, len(bucket)).tolist()
-    doc, place, short = doc[at], place[at].astype(np.uint32), short[at]
-    pair = np.column_stack((offset[at], count)).astype(np.uint32)
+    doc, place, short = doc[at].astype(np.int64).view(np.uint64), place[at], short[at]
     rows = []
     for i in range(len(edge) - 1):
         a, b = run_edge[i], run_edge[i + 1]
-        number, sent = int(bucket[edge[i]]), pair[a:b]
+        number = int(bucket[edge[i]])
         rows.append((
-            number, doc[a:b].tobytes(), place[a:b].tobytes(), short[a:b].tobytes() if number >= 0 else b"",
-            (sent.astype(np.uint8) if sent.max() < 256 else sent).tobytes(), tags[edge[i] : edge[i + 1]].tobytes() if number >= 0 else b"",
+            number, doc[a : a + 1].tobytes() + _thin(np.diff(doc[a:b], prepend=doc[a])), _thin(place[a:b]), short[a:b].tobytes() if number >= 0 else b"",
+            _thin(count[a:b]), long[edge[i] : edge[i + 1]].tobytes() if number >= 0 else b"",
         ))
     for i in range(0, len(rows), 64):
         part = list(zip(*rows[i : i + 64]))
@@ -172,11 +184,8 @@ def _pack(bucket, doc, place, long, short, offset) -> Iterator[pa.RecordBatch]:
 
 
 def _unpack(row):
-    doc = np.frombuffer(row["doc"], np.int64)
-    place = np.frombuffer(row["place"], np.uint32).astype(np.int64)
-    n = len(doc)
-    pair = np.frombuffer(row["offset"], np.uint8 if len(row["offset"]) == 2 * n else np.uint32).reshape(-1, 2).astype(np.int64)
-    return doc, place, pair[:, 0], pair[:, 1]
+    doc = np.frombuffer(row["doc"], np.uint64, 1) + np.cumsum(_thick(row["doc"][8:]))
+    return doc.view(np.int64), _thick(row["place"]).astype(np.int64), _thick(row["count"]).astype(np.int64)
 
 
 def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,7 +193,7 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held, current = [], None
 
     def settle():
-        doc, place, offset, count = (np.concatenate(x) for x in zip(*(_unpack(r) for r in held)))
+        doc, place, count = (np.concatenate(x) for x in zip(*(_unpack(r) for r in held)))
         if current == -1:
             yield _runs(doc, place, count)
             return
@@ -199,14 +208,12 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             return
         # Second level: the surviving candidates at twice the length.
         run = np.repeat(np.arange(len(doc)), count)
-        tags = np.zeros((len(run), 8), np.uint8)
-        tags[:, :TAG] = np.concatenate([np.frombuffer(r["tag"], np.uint8) for r in held]).reshape(-1, TAG)
+        tag = np.concatenate([np.frombuffer(r["tag"], np.uint64) for r in held])
         step = np.arange(len(run)) - np.repeat(np.cumsum(count) - count, count)
         live = np.flatnonzero(twice[run])
-        run, step, tag = run[live], step[live], tags[live].view(np.uint64).ravel()
+        run, step, tag = run[live], step[live], tag[live]
         d, p = doc[run], place[run] + step
-        key = mix(short[run] + mix(tag + (offset[run] - step).astype(np.uint64)))
-        order, again = _settle(d, p, key)
+        order, again = _settle(d, p, tag, short[run])
         if again.any():
             order = order[again]
             yield _runs(d[order], p[order], np.ones(len(order), np.int64))

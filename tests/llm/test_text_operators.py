@@ -449,3 +449,24 @@ def test_license_siblings_are_told_apart(spark):
     found = licenses.license_scan(frame, licenses.known_licenses(spark), mark_col="mark").collect()
     got = {r["doc_id"]: sorted({m["license"] for m in r["licenses"]}) for r in found}
     assert {t[:90]: got[i] for i, (t, _) in enumerate(names)} == {t[:90]: [n] if n else [] for t, n in names}
+
+
+def test_windows_that_differ_in_few_bits_are_kept_apart():
+    """Windows around one short window whose hashes agree in their low 40 bits, or whose hashes and places add up alike."""
+    doc, place, short = np.arange(4), np.zeros(4, np.int64), np.full(4, 77, np.uint64)
+    long = np.array([5, 5 + (1 << 40), 4, 5], np.uint64)
+    offset = np.array([3, 3, 4, 3])
+    pieces = [b for b in substrings._pack(np.zeros(4, np.int32), doc, place, long, short, offset)]
+    found = [r for b in substrings._repeats(iter(pieces)) for r in b.to_pylist()]
+    assert found == [{"doc": 3, "start": 0, "stop": 1}]
+    again = substrings._settle(doc, place, np.full(4, 9, np.uint64), np.array([1, 2, 1, 3], np.uint64))
+    assert dict(zip(again[0].tolist(), again[1].tolist())) == {0: False, 2: True, 1: False, 3: False}
+
+
+def test_packed_windows_come_back():
+    doc = np.array([-5, -5, 3, 1 << 40, (1 << 40) + 70_000])
+    place = np.array([0, 300, 70_000, 5, 6])
+    long, short = np.arange(5).astype(np.uint64), np.arange(5).astype(np.uint64)
+    for batch in substrings._pack(np.zeros(5, np.int32), doc, place, long, short, np.zeros(5, np.int64)):
+        for row in batch.to_pylist():
+            assert [x.tolist() for x in substrings._unpack(row)] == [doc.tolist(), place.tolist(), [1] * 5]
