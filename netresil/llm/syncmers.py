@@ -5,7 +5,9 @@ sixteen, so that text without spaces has words as well). Of all runs of ``k``
 words those are chosen whose smallest inner run of ``s`` words, by hash, lies at
 the left or right edge. The choice depends on the ``k`` words alone, not on what
 surrounds them, so shared passages choose the same anchors wherever they stand.
-The fingerprint keeps the ``anchors`` smallest hashes of the chosen runs.
+The fingerprint keeps the ``anchors`` smallest hashes of the chosen runs, without
+their places: likeness is an estimate, and nothing is matched by position (figures
+in the README).
 
 Everything is built-in functions on arrays; only the fingerprints of neighbours
 and the texts themselves move, once. Road-network records hold no running text,
