@@ -1,16 +1,16 @@
-"""Substring deduplication by level-wise doubling.
+"""Substring deduplication by window hashes, dealt by the short window that stands for each.
 
 A window of ``window`` words is removed where the same words also start earlier.
-Windows are found from shorter ones: a window of ``2 n`` words can only repeat if
-the window of ``n`` words that stands for it repeats. So the texts are scanned
-once for short windows; those repeated are extended to twice the length, and so
-on up to ``window`` or until no candidates survive.
+The texts are scanned once; every window is hashed and, unless it is settled within
+its block of text, sent to the task of the shorter window that stands for it. Lengths
+are not doubled level by level: windows under a short one met once are skipped where
+they arrive, not before they are sent.
 
 * The window of ``n`` words that stands for one of ``2 n`` is the one with the
   smallest hash among the ``n + 1`` inside it, the leftmost of equals. Equal long
   windows agree on it, so about one short window in ``n / 2`` has to be sent.
 * Each short window carries the 64-bit hash of every longer window it stands for,
-  so a candidate is extended without reading the texts again. Long windows are the
+  so the texts are not read again. Long windows are the
   same where both hashes are, that of the short window and that of the long one.
 * Where a short window is frequent in all texts together (found by a counting
   table of fixed size), the longer windows are dealt out by themselves, so no
@@ -198,7 +198,7 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _runs(doc, place, count)
             return
         short = np.concatenate([np.frombuffer(r["short"], np.uint64) for r in held])
-        # First level: a short window met once has no longer repeat.
+        # A short window met once has no longer repeat.
         order = np.argsort(short, kind="stable")
         s = short[order]
         same = np.concatenate(([False], s[1:] == s[:-1]))
@@ -206,7 +206,7 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         twice[order] = same | np.append(same[1:], False)
         if not twice.any():
             return
-        # Second level: the surviving candidates at twice the length.
+        # The long windows under the others.
         run = np.repeat(np.arange(len(doc)), count)
         tag = np.concatenate([np.frombuffer(r["tag"], np.uint64) for r in held])
         step = np.arange(len(run)) - np.repeat(np.cumsum(count) - count, count)
