@@ -10,7 +10,8 @@ window.
 A template of more than L / 2 words that is contained to a share c has at least
 a Jaccard similarity of about c / 4 with such a window. With bands of one MinHash
 each, ``BANDS`` of them miss it with probability (1 - c / 4) ** BANDS: for
-c = 0.8 and 64 bands less than one in a million. What is retrieved is verified
+c = 0.8 and 64 bands less than one in a million. Templates of one or two shingles,
+for which that does not hold, are looked up by the shingles themselves. What is retrieved is verified
 by exact containment of the template's shingles in the window.
 
 Containment alone can't tell siblings apart: the notices of two versions, or of
@@ -164,6 +165,13 @@ class Templates:
                         held = shingles[size][w.bounds[d] : w.bounds[d + 1]]
                         if np.isin(self.sets[t], held).mean() >= (1.0 if self.whole[t] else containment):
                             self.explains[u].add(t)
+        # Shingles of the templates that have at most two, and whose they are.
+        self.direct: dict[int, dict[int, list[int]]] = {size: {} for size in self.groups}
+        for t, (_, size) in enumerate(of):
+            if len(self.sets[t]) <= 2:
+                for v in self.sets[t].tolist():
+                    self.direct[size].setdefault(v, []).append(t)
+        self.level = [_level(int(count[d])) for d, _ in of]
         self.bands = {}
         for size, levels in self.groups.items():
             for level, members in levels.items():
@@ -204,6 +212,15 @@ class Templates:
                     while j < len(keys) and keys[j] == pair[i]:
                         found[span].add((int(starts[i]), int(doc[i]), int(members[j])))
                         j += 1
+        if self.direct[size]:
+            spans = {span: (starts, doc) for span, _, starts, doc in steps}
+            for p in np.flatnonzero(np.isin(shingles, np.array(list(self.direct[size]), np.uint64))).tolist():
+                for t in self.direct[size][int(shingles[p])]:
+                    starts, doc = spans[self.level[t]]
+                    i = int(np.searchsorted(starts, p, side="right")) - 1
+                    for b in (i - 1, i):
+                        if b >= 0 and doc[b] == doc[i]:
+                            found[self.level[t]].add((int(starts[b]), int(doc[b]), t))
         return found
 
 

@@ -470,3 +470,11 @@ def test_packed_windows_come_back():
     for batch in substrings._pack(np.zeros(5, np.int32), doc, place, long, short, np.zeros(5, np.int64)):
         for row in batch.to_pylist():
             assert [x.tolist() for x in substrings._unpack(row)] == [doc.tolist(), place.tolist(), [1] * 5]
+
+
+def test_short_templates_are_found_without_bands():
+    """One band misses most windows; templates of up to four words are found all the same."""
+    texts = pa.array([" ".join([f"a{i}", f"b{i}", f"c{i}", *["all rights reserved"] * (i % 2), f"d{i}", "twice over", "so it ends here", f"e{i}"]) for i in range(200)])
+    short = licenses.Templates([("r", "All rights reserved.", None), ("t", "twice over", None), ("s", "so it ends here", None)], 3, 1)
+    for i, found in enumerate(licenses._find(texts, short, 0.8)):
+        assert sorted(m["license"] for m in found) == ["r"] * (i % 2) + ["s", "t"]
