@@ -6,7 +6,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netresil.llm import decontaminate, jaccard, language, licenses, maxent, mixing, oracle, quality, substrings, syncmers, token_counts
+from netresil.llm import (
+    alignment, decontaminate, jaccard, language, licenses, maxent, merge_automaton, mixing, oracle, quality, substrings, syncmers, token_counts,
+)
+from netresil.session import cut_lineage
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -106,3 +109,31 @@ def op9(spark, sf_dir):
 def op10(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def decimal(column):
+    return F.array_join(column.cast("array<string>"), ",")
+
+
+@query("op11_merge_automaton")
+def op11(spark, sf_dir):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    encoded = merge_automaton.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path).drop("text")
+    return merge_automaton.decode(encoded, path).select(
+        "doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2(decimal(F.col("ids")), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+@query("op12_alignment")
+def op12(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    aligned = alignment.align(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    told = F.array_join(F.transform("groups", lambda g: F.concat(decimal(g["a"]), F.lit("|"), decimal(g["b"]))), ";")
+    # The groups are told once; only the links are needed again, after all have been counted.
+    held = cut_lineage(aligned.select(
+        "doc_id", "n_a", "n_b", F.size("groups").cast("bigint").alias("n_groups"),
+        F.when(F.col("n_a") > 0, F.sha2(told, 256)).otherwise("").alias("groups_sha256"), "links",
+    ))
+    return alignment.score_links(held, alignment.link_counts(held)).select(
+        "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
