@@ -94,3 +94,24 @@ SELECT doc_id, size, source_size, target,
   CAST(rounds * size + CASE WHEN upto <= last THEN size WHEN upto - tied >= last THEN 0 ELSE size * (last - (upto - tied)) // greatest(tied, 1) END AS BIGINT) AS taken
 FROM o
 """
+
+RANKED = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents
+),
+b AS (
+  SELECT item_id, unnest(list_distinct(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'))) AS term
+  FROM benchmark
+),
+total AS (SELECT CAST(count(*) AS BIGINT) AS docs, CAST(sum(len(terms)) AS BIGINT) AS words FROM d WHERE len(terms) > 0),
+u AS (SELECT doc_id, CAST(len(terms) AS BIGINT) AS n, unnest(terms) AS term FROM d),
+e AS (SELECT doc_id, n, term, CAST(count(*) AS BIGINT) AS tf FROM u WHERE term IN (SELECT term FROM b) GROUP BY doc_id, n, term),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE)) AS BIGINT) AS weight FROM e CROSS JOIN total GROUP BY term, docs),
+s AS (
+  SELECT b.item_id, e.doc_id, CAST(sum(w.weight * ((1000000000 * e.tf) // (1000 * e.tf + 8 * (10 + (90 * e.n * total.docs) // total.words)))) AS BIGINT) AS score
+  FROM e JOIN w USING (term) JOIN b USING (term) CROSS JOIN total GROUP BY b.item_id, e.doc_id
+),
+r AS (SELECT item_id, doc_id, score, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 10
+"""

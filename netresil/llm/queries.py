@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netresil.llm import (
-    alignment, decontaminate, jaccard, language, licenses, maxent, merge_automaton, mixing, oracle, quality, substrings, syncmers, token_counts,
+    alignment, decontaminate, jaccard, language, licenses, maxent, merge_automaton, mixing, oracle, quality, substrings, syncmers, token_counts, treap,
 )
 from netresil.session import cut_lineage
 
@@ -137,3 +137,8 @@ def op12(spark, sf_dir):
     ))
     return alignment.score_links(held, alignment.link_counts(held)).select(
         "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+@query("op13_treap", oracle.RANKED)
+def op13(spark, sf_dir):
+    return treap.rank_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))

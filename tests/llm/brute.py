@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 from collections import Counter, defaultdict
 
+from netresil.llm.token_counts import byte_letters
+
 
 def lower(text: str) -> str:
     return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
@@ -115,3 +117,60 @@ class ContextTree:
             else:
                 total += 8.0
         return total
+
+
+def alignment(text, plain, model):
+    """Both tokenizations of a space and the text, every overlapping and every linked pair, and the groups."""
+    none = {"n_a": 0, "n_b": 0, "n_overlaps": 0, "groups": [], "links": []}
+    if not text:
+        return none
+    body = (" " + text).encode()
+    letters = byte_letters()
+    a = [(i, bytes(letters[c] for c in plain.id_to_token(i))) for i in plain.encode(" " + text, add_special_tokens=False).ids]
+    b = [(i, bytes([int(model.id_to_piece(i)[3:5], 16)]) if model.is_byte(i) else model.id_to_piece(i).replace("▁", " ").encode()) for i in model.encode(text)]
+    if any(b"".join(x for _, x in side) != body for side in (a, b)):
+        return none
+    spans = []
+    for side in (a, b):
+        at, out = 0, []
+        for i, x in side:
+            out.append((at, at + len(x), i))
+            at += len(x)
+        spans.append(out)
+    n_overlaps, first, links = 0, 0, []
+    for s, e, i in spans[0]:
+        while spans[1][first][1] <= s:
+            first += 1
+        for s2, e2, j in spans[1][first:]:
+            if s2 >= e:
+                break
+            n_overlaps += 1
+            if e == e2:
+                links.append((i, j))
+    cuts = sorted({e for _, e, _ in spans[0]} & {e for _, e, _ in spans[1]})
+    groups = [([], []) for _ in cuts]
+    for side in (0, 1):
+        at = 0
+        for _, e, i in spans[side]:
+            while e > cuts[at]:
+                at += 1
+            groups[at][side].append(i)
+    return {"n_a": len(a), "n_b": len(b), "n_overlaps": n_overlaps, "groups": groups, "links": links}
+
+
+def ranking(docs, items, k):
+    """(item, rank, document, score) by scoring every document for every item; null ids last."""
+    held = [(i, Counter(alnum(t))) for i, t in docs]
+    n_docs, n_terms = sum(bool(c) for _, c in held), sum(sum(c.values()) for _, c in held)
+    out = []
+    for item, text in items:
+        scores = []
+        asked = set(alnum(text))
+        weight = {t: math.floor(1000 * math.log((2 * n_docs + 2) / (2 * sum(t in c for _, c in held) + 1))) for t in asked}
+        for i, c in held:
+            m = 10 + (90 * sum(c.values()) * n_docs) // n_terms
+            score = sum(weight[t] * ((10**9 * c[t]) // (1000 * c[t] + 8 * m)) for t in asked if t in c)
+            if score > 0:
+                scores.append((-score, i is None, i or 0, i))
+        out += [(item, rank, i, -s) for rank, (s, _, _, i) in enumerate(sorted(scores, key=lambda x: x[:3])[:k], 1)]
+    return out
