@@ -32,7 +32,7 @@ from netresil.llm.text import bound_batches
 from netresil.llm.token_counts import PATTERN, byte_letters
 
 #: Pieces a worker remembers between batches, their tokens, and arcs judged.
-REMEMBERED, REMEMBERED_TOKENS, JUDGED = 800_000, 8_000_000, 1_000_000
+REMEMBERED, REMEMBERED_TOKENS, JUDGED = 500_000, 5_000_000, 500_000
 
 ROOT = 0
 

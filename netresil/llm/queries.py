@@ -129,12 +129,9 @@ def op11(spark, sf_dir):
 def op12(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     aligned = alignment.align(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
-    told = F.array_join(F.transform("groups", lambda g: F.concat(decimal(g["a"]), F.lit("|"), decimal(g["b"]))), ";")
     # The groups are told once; only the links are needed again, after all have been counted.
-    held = cut_lineage(aligned.select(
-        "doc_id", "n_a", "n_b", F.size("groups").cast("bigint").alias("n_groups"),
-        F.when(F.col("n_a") > 0, F.sha2(told, 256)).otherwise("").alias("groups_sha256"), "links",
-    ))
+    told = F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise("").alias("groups_sha256")
+    held = cut_lineage(aligned.select("doc_id", "n_a", "n_b", "n_groups", told, "links"))
     return alignment.score_links(held, alignment.link_counts(held)).select(
         "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
 

@@ -158,6 +158,10 @@ def alignment(text, plain, model):
     return {"n_a": len(a), "n_b": len(b), "n_overlaps": n_overlaps, "groups": groups, "links": links}
 
 
+def told(groups):
+    return ";".join(f"{','.join(map(str, a))}|{','.join(map(str, b))}" for a, b in groups)
+
+
 def ranking(docs, items, k):
     """(item, rank, document, score) by scoring every document for every item; null ids last."""
     held = [(i, Counter(alnum(t))) for i, t in docs]
