@@ -32,7 +32,7 @@ from netresil.llm.text import bound_batches
 from netresil.llm.token_counts import PATTERN, byte_letters
 
 #: Pieces a worker remembers between batches, their tokens, and arcs judged.
-REMEMBERED, REMEMBERED_TOKENS, JUDGED = 500_000, 5_000_000, 500_000
+REMEMBERED, REMEMBERED_TOKENS, JUDGED = 800_000, 8_000_000, 1_000_000
 
 ROOT = 0
 
@@ -78,62 +78,47 @@ class MergeAutomaton:
                 state = self.original[state]
 
 
-class Pieces(dict):
-    """Piece of text -> slot of its tokens; a piece is encoded when first met. Subclasses say how."""
+class Words(dict):
+    """Word -> slot of its tokens; a word is encoded by the automaton when first met. A special token is the word ``(id,)``."""
 
-    def __init__(self, labels: list[bytes]):
+    def __init__(self, labels: list[bytes], automaton: MergeAutomaton):
         super().__init__()
-        self.labels = labels
-        self.lengths = np.array([len(x) for x in labels], np.int64)
+        self.labels, self.automaton, self.judged = labels, automaton, {}
+        self.step, self.token = {}, [-1]
+        for token, label in enumerate(labels):
+            if token < len(automaton.made) and automaton.made[token] >= 0:
+                node = 0
+                for byte in label:
+                    node = self.step.setdefault(node << 8 | byte, len(self.token))
+                    if node == len(self.token):
+                        self.token.append(-1)
+                self.token[node] = token
         self.forget()
 
     def forget(self) -> None:
         self.clear()
-        self.ids, self.starts, self.whole = array("i"), array("q", [0]), bytearray()
-
-    def encode(self, piece) -> list[int]:
-        raise NotImplementedError
+        self.ids, self.starts = array("i"), array("q", [0])
 
     def __missing__(self, piece) -> int:
         ids = self.encode(piece)
-        slot = self[piece] = len(self.whole)
+        slot = self[piece] = len(self.starts) - 1
         self.ids.extend(ids)
         self.starts.append(len(self.ids))
-        self.whole.append(isinstance(piece, str) and b"".join(map(self.labels.__getitem__, ids)) == piece.encode())
         return slot
 
-    def tokens(self, texts: list[list]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Token ids of all texts given as pieces, where each text's begin, and which spell all their pieces as they are."""
+    def tokens(self, texts: list[list]) -> tuple[np.ndarray, np.ndarray]:
+        """Token ids of all texts given as pieces, and where each text's begin."""
         counts = np.fromiter(map(len, texts), np.int64, len(texts))
         slots = np.fromiter((self[p] for pieces in texts for p in pieces), np.int64, int(counts.sum()))
-        starts, whole = np.array(self.starts), np.frombuffer(bytes(self.whole), np.uint8)
+        starts = np.array(self.starts)
         n = starts[slots + 1] - starts[slots]
         ends = np.concatenate([[0], np.cumsum(n)])
         at = np.repeat(starts[slots] - ends[:-1], n) + np.arange(ends[-1])
         ids = np.array(self.ids, np.int32)[at]
         edges = np.concatenate([[0], np.cumsum(counts)])
-        bad = np.concatenate([[0], np.cumsum(whole[slots] == 0)])
-        out = ids, ends[edges], bad[edges[1:]] == bad[edges[:-1]]
         if len(self) > REMEMBERED or len(self.ids) > REMEMBERED_TOKENS:
             self.forget()
-        return out
-
-
-class Words(Pieces):
-    """Pre-split words, encoded by the automaton; a special token is the piece ``(id,)``."""
-
-    def __init__(self, labels: list[bytes], automaton: MergeAutomaton):
-        super().__init__(labels)
-        self.automaton, self.judged = automaton, {}
-        self.step, self.token = {}, [-1]
-        for token, label in enumerate(labels):
-            if token < len(automaton.made) and automaton.made[token] >= 0:
-                node = 0
-                for byte in label:
-                    node = self.step.setdefault(node << 8 | byte, len(self.token))
-                    if node == len(self.token):
-                        self.token.append(-1)
-                self.token[node] = token
+        return ids, ends[edges]
 
     def encode(self, piece) -> list[int]:
         """Tokens of a word: the labels of the one path that spells it.
@@ -211,12 +196,19 @@ class Tokenizer:
             known = all(c in letters for c in entry)
             self.labels[token] = bytes(letters[c] for c in entry) if known else entry.encode()
         pairs = [m.split(" ", 1) if isinstance(m, str) else m for m in model["merges"]]
-        self.automaton = MergeAutomaton([vocabulary[c] for c in letters], [(vocabulary[u], vocabulary[v], vocabulary[u + v]) for u, v in pairs])
+        self.alphabet, self.joined = [vocabulary[c] for c in letters], [vocabulary[u + v] for u, v in pairs]
+        self.automaton = MergeAutomaton(self.alphabet, [(vocabulary[u], vocabulary[v], joined) for (u, v), joined in zip(pairs, self.joined)])
         self.ready = None
 
     def __getstate__(self):
         return self.__dict__ | {"ready": None}
 
+    def in_order(self) -> list[int]:
+        """All tokens of the alphabet and the merges, whose ids must rise with the merges' ranks."""
+        if any(later <= earlier for earlier, later in zip([max(self.alphabet), *self.joined], self.joined)):
+            raise ValueError("the ids do not rank the merges")
+        return self.alphabet + self.joined
+
     def words(self) -> Words:
         """The words a worker remembers, made when first asked for."""
         if self.ready is None:
@@ -263,7 +255,7 @@ def encode(texts: DataFrame, tokenizer_path: str, text_col: str = "text", ids_co
         words = tokenizer.words()
         for batch in batches:
             pieces = [tokenizer.split(t, specials) for t in batch.column(len(keep)).to_pylist()]
-            ids, edges, _ = words.tokens(pieces)
+            ids, edges = words.tokens(pieces)
             column = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(ids, pa.int32()))
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), column], names=[*keep, ids_col])
 
