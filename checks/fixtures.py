@@ -168,6 +168,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _exact_rounding(sql: str) -> str:
+    """``round_even(x, n)`` as the digits of the double itself.
+
+    DuckDB's own multiplies first and rounds the rounded product, which turns
+    60.045 into an exact half; ``format`` decides on the double, as the service
+    these queries re-create does.
+    """
+    while (at := sql.rfind("round_even(")) >= 0:
+        i = start = at + len("round_even(")
+        depth, comma = 1, None
+        while depth:
+            c = sql[i]
+            depth += (c == "(") - (c == ")")
+            comma = i if c == "," and depth == 1 else comma
+            i += 1
+        x, n = sql[start:comma], sql[comma + 1 : i - 1].strip()
+        sql = f"{sql[:at]}(cast(format('{{:.{n}f}}', cast({x} as double)) as double) + 0e0){sql[i:]}"
+    return sql
+
+
 def with_fx(body: str, recursive: bool = False) -> str:
     """Oracle SQL: the relations ``body`` mentions, put in front of it.
 
@@ -177,7 +197,7 @@ def with_fx(body: str, recursive: bool = False) -> str:
     names = [n for n in dict.fromkeys(re.findall(r"\bfx_\w+", body)) if n in FX]
     head = "with recursive " if recursive else "with "
     chain = _chain(names, lambda b: b) if names else ""
-    body = body.strip()
+    body = _exact_rounding(body.strip())
     if body.startswith(","):
         return f"{head}{chain}{body}" if chain else f"{head}{body[1:]}"
     return f"{head}{chain}\n{body}" if chain else body

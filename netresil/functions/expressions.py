@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from netresil.functions.rounding import round_even
+
 # They must equal the published behaviour for equal results.
 SPEED_MS = 11.1
 ROAD_CLASS_CONGESTION = [
@@ -82,12 +84,12 @@ def criticality_width(score: Column) -> Column:
 
 
 def segment_length(length_m: Column) -> Column:
-    return F.bround(F.coalesce(length_m, F.lit(0.0)), 1)
+    return round_even(F.coalesce(length_m, F.lit(0.0)), 1)
 
 
 def segment_score(length_m: Column, congestion: Column) -> Column:
     raw = segment_length(length_m) / 500.0 * 0.4 + congestion / 2.0 * 0.6
-    return F.bround(F.least(F.lit(0.99), raw), 3)
+    return round_even(F.least(F.lit(0.99), raw), 3)
 
 
 def segment_criticality(score: Column) -> Column:
@@ -95,7 +97,7 @@ def segment_criticality(score: Column) -> Column:
 
 
 def priority_score(removed: Column, before: Column, after: Column) -> Column:
-    return F.bround(F.least(F.lit(1.0), removed * 0.05 + (before - after) / 50.0), 2)
+    return round_even(F.least(F.lit(1.0), removed * 0.05 + (before - after) / 50.0), 2)
 
 
 def emergency_priority(score: Column) -> Column:
@@ -181,11 +183,11 @@ def population_fallback(radius_m: Column) -> Column:
 
 
 def default_origin_lat(lat: Column) -> Column:
-    return F.bround(F.bround(lat, 4) + 0.02, 4)
+    return round_even(round_even(lat, 4) + 0.02, 4)
 
 
 def default_destination_lat(lat: Column) -> Column:
-    return F.bround(F.bround(lat, 4) - 0.02, 4)
+    return round_even(round_even(lat, 4) - 0.02, 4)
 
 
 def improved(before: Column, after: Column, lower_is_better: bool = False) -> Column:

@@ -14,6 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from netresil.functions.rounding import round_even
 from netresil.session import Rounds, cut_lineage
 
 
@@ -112,13 +113,13 @@ def network_summary(nodes: DataFrame, edges: DataFrame, components: DataFrame) -
     share = F.col("largest") / n
     return by_comp.join(F.broadcast(by_edge)).select(  # two one-row aggregates
         "nodes", "edges", "components", "largest",
-        F.bround("km", 1).alias("total_km"),
-        F.bround(share * 100, 2).alias("connectivity"),
-        F.bround(share * 100, 1).alias("connectivity_report"),
-        F.bround(share, 3).alias("connectivity_ratio"),
-        F.bround(1.0 - F.col("components") / n, 3).alias("resilience"),
-        F.bround(1.0 - F.col("components") / n, 4).alias("resilience_summary"),
-        F.bround(
+        round_even("km", 1).alias("total_km"),
+        round_even(share * 100, 2).alias("connectivity"),
+        round_even(share * 100, 1).alias("connectivity_report"),
+        round_even(share, 3).alias("connectivity_ratio"),
+        round_even(1.0 - F.col("components") / n, 3).alias("resilience"),
+        round_even(1.0 - F.col("components") / n, 4).alias("resilience_summary"),
+        round_even(
             F.greatest(F.lit(0), F.col("components") - 1) / F.greatest(F.col("km_filled"), F.lit(0.001)), 3
         ).alias("break_density"),
     )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from netresil.functions import expressions as X
 from netresil.functions.projection import utm_to_wgs84
+from netresil.functions.rounding import round_even
 from netresil.operators.graph import distinct_edges
 from netresil.operators.spatial import edge_endpoints
 
@@ -27,8 +28,8 @@ def edge_features(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     lon2, lat2 = utm_to_wgs84(F.col("bx"), F.col("by"))
     return e.select(
         "src", "dst", X.feature_id("E", F.col("src"), F.col("dst")).alias("id"),
-        F.bround("length_m", 1).alias("length_m"), X.congestion_band(F.col("congestion_level")).alias("criticality"),
-        F.bround("congestion_level", 2).alias("congestion"),
+        round_even("length_m", 1).alias("length_m"), X.congestion_band(F.col("congestion_level")).alias("criticality"),
+        round_even("congestion_level", 2).alias("congestion"),
         lon1.alias("lon1"), lat1.alias("lat1"), lon2.alias("lon2"), lat2.alias("lat2"),
     )
 
@@ -82,7 +83,7 @@ def top_k_segments(segments: DataFrame, k: int = 8, key: str = "incident_id") ->
 
 def metrics_document(before: DataFrame, after: DataFrame, pixel_size_m: float) -> DataFrame:
     """Before/after document, rounded to three places."""
-    part = lambda d, c, r: F.struct(F.bround(d, 3).alias("component_break_density"), F.bround(c, 3).alias("connectivity_ratio")).alias(r)
+    part = lambda d, c, r: F.struct(round_even(d, 3).alias("component_break_density"), round_even(c, 3).alias("connectivity_ratio")).alias(r)
     b = before.select(F.col("density").alias("d0"), F.col("ratio").alias("c0"))
     a = after.select(F.col("density").alias("d1"), F.col("ratio").alias("c1"), "nodes", "edges")
     return b.join(F.broadcast(a)).select(  # two one-row tables

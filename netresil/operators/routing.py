@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from netresil.functions import expressions as X
 from netresil.functions.geometry import norm2, point_segment_distance
+from netresil.functions.rounding import round_even
 from netresil.operators.graph import cheapest_edges
 from netresil.session import Rounds, cut_lineage
 
@@ -231,9 +232,9 @@ def route_metrics(paths: DataFrame, edges: DataFrame, weight: str = "travel_time
     )
     return sums.select(
         "query_id",
-        F.bround(F.col("m") / 1000.0, 2).alias("distance_km"),
-        F.bround(F.col("s") / 60.0, 1).alias("estimated_time_mins"),
-        F.bround("cong", 2).alias("avg_congestion_multiplier"),
+        round_even(F.col("m") / 1000.0, 2).alias("distance_km"),
+        round_even(F.col("s") / 60.0, 1).alias("estimated_time_mins"),
+        round_even("cong", 2).alias("avg_congestion_multiplier"),
         F.greatest("segments_count", F.lit(1)).cast("bigint").alias("segments_count"),
     )
 

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from netresil.functions import expressions as X
 from netresil.functions.projection import utm_to_wgs84
+from netresil.functions.rounding import round_even
 from netresil.operators.components import component_sizes, connected_components, star_labels
 from netresil.operators.graph import cheapest_edges, undirected_pairs
 from netresil.operators.routing import (
@@ -206,10 +207,10 @@ def impact_on(network: Network, incidents: DataFrame, population: DataFrame | No
         "incident_id", "components_before", "components_after",
         F.greatest(zero, F.col("components_after") - F.col("components_before")).alias("disconnected_wards"),
         F.coalesce("population_affected", X.population_fallback(F.col("radius_m"))).alias("population_affected"),
-        F.bround(F.col("largest_before") / n * 100, 2).alias("connectivity_before"),
-        F.bround(F.col("largest_after") / n * 100, 2).alias("connectivity_after"),
-        F.bround(1.0 - F.col("components_before") / n, 3).alias("resilience_before"),
-        F.bround(1.0 - F.col("components_after") / n, 3).alias("resilience_after"),
+        round_even(F.col("largest_before") / n * 100, 2).alias("connectivity_before"),
+        round_even(F.col("largest_after") / n * 100, 2).alias("connectivity_after"),
+        round_even(1.0 - F.col("components_before") / n, 3).alias("resilience_before"),
+        round_even(1.0 - F.col("components_after") / n, 3).alias("resilience_after"),
         F.coalesce("removed", zero).alias("edges_removed"),
         F.coalesce("nodes_in_zone", zero).alias("nodes_in_zone"),
     )
@@ -313,6 +314,6 @@ def compare_routes(requests: DataFrame, nodes: DataFrame, edges: DataFrame, max_
         F.when(unsnapped, F.col("snap_message")).when(~has("safe"), F.lit(ISOLATED)).alias("message"),
         "note",
         *[F.col(f"{t}_{c}") for t in ("normal", "safe") for c in ("distance_km", "estimated_time_mins", "avg_congestion_multiplier", "segments_count", "cost", "route_coords")],
-        F.bround(F.col("safe_distance_km") - F.col("normal_distance_km"), 2).alias("detour_km"),
-        F.bround(F.col("safe_estimated_time_mins") - F.col("normal_estimated_time_mins"), 1).alias("detour_mins"),
+        round_even(F.col("safe_distance_km") - F.col("normal_distance_km"), 2).alias("detour_km"),
+        round_even(F.col("safe_estimated_time_mins") - F.col("normal_estimated_time_mins"), 1).alias("detour_mins"),
     )
