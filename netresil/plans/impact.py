@@ -4,9 +4,9 @@ Incidents come as a table and are answered together. Recomputing the
 components of the whole network per incident would cost incidents x network.
 Instead the plane is divided top-down: inside a block of the plane all edges
 no incident of the block can reach are contracted once, so what is left per
-block is about the size of the block, and only that is recomputed per
-incident. Each level splits blocks 4 x 4 and costs a constant number of passes
-over the edges.
+block is about the size of the block. Each level splits blocks 4 x 4 and costs
+a constant number of passes over the edges; as soon as a block fits one task it
+goes there with its incidents (see ``operators.blocks``).
 """
 
 from __future__ import annotations
@@ -14,12 +14,15 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from netresil.functions import expressions as X
 from netresil.functions.projection import utm_to_wgs84
 from netresil.functions.rounding import round_even
+from netresil.operators.blocks import Block, after_failures
 from netresil.operators.components import component_sizes, connected_components, star_labels
 from netresil.operators.graph import cheapest_edges, undirected_pairs
 from netresil.operators.routing import (
@@ -29,6 +32,8 @@ from netresil.operators.spatial import edge_endpoints, nodes_in_zone, segments_w
 from netresil.session import cut_lineage
 
 SPLIT = 4.0
+#: Streets of a block, and incidents answered with it, that one task may hold.
+BLOCK_EDGES, BLOCK_INCIDENTS = 1 << 19, 1024
 
 
 def street_segments(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -55,25 +60,82 @@ def _levels(incidents: DataFrame, nodes: DataFrame) -> list[float]:
 def after_failure(incidents: DataFrame, nodes: DataFrame, segments: DataFrame, failed: DataFrame) -> DataFrame:
     """``(incident_id, components_after, largest_after)`` for every incident.
 
-    ``segments`` as from ``street_segments``. Incidents are answered by radius,
-    in classes of a factor of sixteen: a block is never wider than its own
-    class needs, so one huge zone does not enlarge the work of small ones.
+    ``segments`` as from ``street_segments``. A network of at most
+    ``BLOCK_EDGES`` streets is one block for all incidents. Larger ones are
+    divided first, by radius, in classes of a factor of sixteen: a block is
+    never wider than its own class needs, so one huge zone does not enlarge the
+    work of small ones.
+    """
+    incidents = cut_lineage(incidents.select("incident_id", "x", "y", "radius_m", F.monotonically_increasing_id().alias("number")))
+    failed = failed.join(incidents.select("incident_id", "number"), "incident_id").select("number", "src", "dst")
+    segs = cut_lineage(segments.where(F.col("src") != F.col("dst")).select(
+        "src", "dst", F.least("ax", "bx").alias("x0"), F.greatest("ax", "bx").alias("x1"), F.least("ay", "by").alias("y0"), F.greatest("ay", "by").alias("y1")))
+    if segs.count() <= BLOCK_EDGES:
+        zero = F.lit(0).cast("bigint")
+        graph = segs.select(zero.alias("bx_"), zero.alias("by_"), F.col("src").alias("u"), F.col("dst").alias("v"), *segs.columns)
+        ends = segs.select(F.explode(F.array("src", "dst")).alias("n")).distinct()
+        weights = ends.select(zero.alias("bx_"), zero.alias("by_"), "n", F.lit(1).cast("bigint").alias("w"))
+        lonely = nodes.select(F.col("node_id").alias("n")).join(ends, "n", "left_anti")
+        shut = cut_lineage(lonely.groupBy(zero.alias("bx_"), zero.alias("by_")).agg(F.count(F.lit(1)).alias("closed"), F.lit(1).cast("bigint").alias("closed_max")))
+        found = _in_tasks(incidents.withColumns({"bx_": zero, "by_": zero}), graph, weights, shut, failed)
+    else:
+        cls = F.floor(F.log2(F.greatest(F.col("radius_m"), F.lit(1.0))) / 4)
+        classes = sorted(r[0] for r in incidents.select(cls.alias("k")).where("k is not null").distinct().collect())
+        found = None
+        for k in classes or [0]:
+            one = _divided(incidents.where(cls == k), nodes, segs, failed)
+            found = one if found is None else found.unionByName(one)
+    return incidents.select("incident_id", "number").join(found, "number").select("incident_id", "components_after", "largest_after")
+
+
+def _in_tasks(placed: DataFrame, graph: DataFrame, weights: DataFrame, shut: DataFrame | None, failed: DataFrame) -> DataFrame:
+    """``number, components_after, largest_after`` of placed incidents, one task per block and at most ``BLOCK_INCIDENTS`` of them.
+
+    A block with more incidents is sent once for each part of them.
+    """
+    key = ["bx_", "by_"]
+    zero, none = F.lit(0).cast("bigint"), F.lit(0.0)
+    parts = cut_lineage(placed.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / BLOCK_INCIDENTS).alias("parts")))
+    dealt = cut_lineage(placed.join(parts, key).withColumn("part", F.pmod(F.xxhash64("number"), F.col("parts"))).drop("parts"))
+    copies = parts.select(*key, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part"))
+
+    def rows(df, kind, **of):
+        cols = {c: zero for c in "abcd"} | {c: none for c in "pqrs"} | {c: F.col(v) for c, v in of.items()}
+        return df.select(*key, "part", F.lit(kind).alias("kind"), *[F.coalesce(v, zero if c in "abcd" else none).alias(c) for c, v in cols.items()])
+
+    held = (
+        rows(graph.join(copies, key), "street", a="u", b="v", c="src", d="dst", p="x0", q="x1", r="y0", s="y1")
+        .unionByName(rows(weights.join(copies, key), "node", a="n", b="w"))
+        .unionByName(rows(dealt, "zone", a="number", p="x", q="y", r="radius_m"))
+        .unionByName(rows(failed.join(dealt.select("number", *key, "part"), "number"), "failed", a="number", c="src", d="dst"))
+    )
+    if shut is not None:
+        held = held.unionByName(rows(shut.join(copies, key), "closed", a="closed", b="closed_max"))
+    return cut_lineage(held.groupBy(*key, "part").applyInPandas(_block_answers, "number bigint, components_after bigint, largest_after bigint"))
+
+
+def _block_answers(table: pd.DataFrame) -> pd.DataFrame:
+    of = dict(tuple(table.groupby("kind")))
+    none = table.iloc[:0]
+    street, node, zone, failed, closed = (of.get(k, none).reset_index(drop=True) for k in ("street", "node", "zone", "failed", "closed"))
+    ids = np.unique(np.concatenate([node["a"], street["a"], street["b"]]).astype(np.int64))
+    weight = np.zeros(len(ids), np.int64)
+    np.add.at(weight, np.searchsorted(ids, node["a"]), node["b"].to_numpy())
+    u, v = (np.searchsorted(ids, street[c]) for c in "ab")
+    block = Block(u, v, np.arange(len(street)), weight, int(closed["a"].sum()), int(closed["b"].max()) if len(closed) else 0)
+    zone = zone.sort_values("a").reset_index(drop=True)
+    met = failed[["a", "c", "d"]].merge(street[["c", "d"]].assign(row=np.arange(len(street))), on=["c", "d"]).sort_values("a")
+    found = after_failures(
+        block, street[list("pqrs")].to_numpy(float), zone[list("pqr")].to_numpy(float), np.searchsorted(zone["a"], met["a"]), met["row"].to_numpy(np.int64))
+    return pd.DataFrame({"number": zone["a"], "components_after": found[:, 0], "largest_after": found[:, 1]})
+
+
+def _divided(incidents: DataFrame, nodes: DataFrame, segs: DataFrame, failed: DataFrame) -> DataFrame:
+    """Answers on a large network: blocks are split 4 x 4 until they fit a task.
+
+    A block of the smallest size that still does not fit is answered incident
+    by incident, by the joins that find components.
     """
-    cls = F.floor(F.log2(F.greatest(F.col("radius_m"), F.lit(1.0))) / 4)
-    classes = sorted(r[0] for r in incidents.select(cls.alias("k")).distinct().collect())
-    out = None
-    for k in classes or [0]:
-        one = _after_failure(incidents.where(cls == k), nodes, segments, failed)
-        out = one if out is None else out.unionByName(one)
-    return out
-
-
-def _after_failure(incidents: DataFrame, nodes: DataFrame, segments: DataFrame, failed: DataFrame) -> DataFrame:
-    box = {
-        "x0": F.least("ax", "bx"), "x1": F.greatest("ax", "bx"),
-        "y0": F.least("ay", "by"), "y1": F.greatest("ay", "by"),
-    }
-    segs = segments.where(F.col("src") != F.col("dst")).withColumns(box)
     key = ["bx_", "by_"]
     zero = F.lit(0).cast("bigint")
     graph = segs.select(
@@ -82,7 +144,7 @@ def _after_failure(incidents: DataFrame, nodes: DataFrame, segments: DataFrame,
     )
     weights = nodes.select(zero.alias("bx_"), zero.alias("by_"), F.col("node_id").alias("n"), F.lit(1).cast("bigint").alias("w"))
     shut = None  # components already closed off: count and largest, per block
-    inc = incidents.select("incident_id", "x", "y", "radius_m")
+    inc = incidents
     sizes = _levels(inc, nodes)
     for i, size in enumerate(sizes):
         at = lambda c, s=size: F.floor(F.col(c) / F.lit(s)).cast("bigint")
@@ -128,25 +190,34 @@ def _after_failure(incidents: DataFrame, nodes: DataFrame, segments: DataFrame,
         shut = cut_lineage(closed)
         weights = cut_lineage(merged.join(live, [*key, "n"], "left_semi"))
         graph = graph_next
+        crowded = graph.groupBy(*key).count().where(F.col("count") > BLOCK_EDGES).drop("count")
+        if crowded.isEmpty():
+            break
 
-    leaf = sizes[-1]
-    placed = inc.select(
-        "incident_id", F.floor(F.col("x") / F.lit(leaf)).cast("bigint").alias("bx_"),
-        F.floor(F.col("y") / F.lit(leaf)).cast("bigint").alias("by_"),
-    )
+    placed = inc.withColumns({c: F.floor(F.col(v) / F.lit(size)).cast("bigint") for c, v in (("bx_", "x"), ("by_", "y"))})
+    crowded = cut_lineage(crowded)
+    fits = placed.join(crowded, key, "left_anti")
+    light = _in_tasks(fits, graph.join(crowded, key, "left_anti"), weights.join(crowded, key, "left_anti"), shut, failed)
+    if crowded.isEmpty():
+        return light
+    return light.unionByName(_by_joins(placed.join(crowded, key, "left_semi").select("number", *key), graph, weights, shut, failed))
+
+
+def _by_joins(placed: DataFrame, graph: DataFrame, weights: DataFrame, shut: DataFrame, failed: DataFrame) -> DataFrame:
+    key = ["bx_", "by_"]
     kept = graph.select(*key, "u", "v", "src", "dst").join(placed, key).join(
-        failed.select("incident_id", "src", "dst"), ["incident_id", "src", "dst"], "left_anti"
+        failed.select("number", "src", "dst"), ["number", "src", "dst"], "left_anti"
     )
-    own = weights.join(placed, key).select("incident_id", F.col("n").alias("node_id"), "w")
+    own = weights.join(placed, key).select("number", F.col("n").alias("node_id"), "w")
     comp = connected_components(
-        own, kept.select("incident_id", F.col("u").alias("src"), F.col("v").alias("dst")), ["incident_id"]
+        own, kept.select("number", F.col("u").alias("src"), F.col("v").alias("dst")), ["number"]
     )
-    open_ = own.join(comp, ["incident_id", "node_id"]).groupBy("incident_id", "component").agg(F.sum("w").alias("w")).groupBy(
-        "incident_id"
+    open_ = own.join(comp, ["number", "node_id"]).groupBy("number", "component").agg(F.sum("w").alias("w")).groupBy(
+        "number"
     ).agg(F.count(F.lit(1)).alias("open"), F.max("w").alias("open_max"))
     none = F.lit(0).cast("bigint")
-    return placed.join(shut, key, "left").join(open_, "incident_id", "left").select(
-        "incident_id",
+    return placed.join(shut, key, "left").join(open_, "number", "left").select(
+        "number",
         (F.coalesce("closed", none) + F.coalesce("open", none)).alias("components_after"),
         F.greatest(F.coalesce("closed_max", none), F.coalesce("open_max", none)).cast("bigint").alias("largest_after"),
     )

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from brute import betweenness as exact_betweenness
 from brute import components, cores, dijkstra, kruskal, segment_distance
@@ -10,6 +11,8 @@ from netresil.operators.centrality import betweenness
 from netresil.operators.components import component_sizes, connected_components, network_summary
 from netresil.operators.healing import max_spanning_bridges
 from netresil.operators.routing import nearest_outside, positions, route, shortest_paths
+from netresil.operators.blocks import labels
+from netresil.plans import impact as IM
 from netresil.plans.impact import compare_routes, impact
 
 
@@ -146,7 +149,11 @@ def test_betweenness_of_a_path(spark):
     assert {r.node_id: round(r.betweenness, 9) for r in got.collect()} == {k: round(v, 9) for k, v in want.items()}
 
 
-def test_impact_against_recomputing_everything(spark):
+@pytest.mark.parametrize("limits", [(1 << 19, 1024), (1 << 19, 7), (150, 7), (30, 7)])
+def test_impact_against_recomputing_everything(spark, monkeypatch, limits):
+    # all in one task, in several, in blocks that fit a task, and in some that never do
+    monkeypatch.setattr(IM, "BLOCK_EDGES", limits[0])
+    monkeypatch.setattr(IM, "BLOCK_INCIDENTS", limits[1])
     xy, edges = lattice(16, 0.7, 4)
     rnd = random.Random(9)
     inc = [(i, rnd.uniform(-100, 1700), rnd.uniform(-100, 1700), rnd.choice([20.0, 90.0, 160.0])) for i in range(25)]
@@ -165,6 +172,39 @@ def test_impact_against_recomputing_everything(spark):
         assert r.nodes_in_zone == sum((px - x) ** 2 + (py - y) ** 2 <= rad * rad for px, py in xy.values())
 
 
+def test_impact_on_the_street_network(spark):
+    """All incidents of the given tables, against union-find over the whole network."""
+    from checks.fixtures import fx
+    sf = "/root/testdata/sf0.001"
+    xy = {r.node_id: (r.x, r.y) for r in fx(spark, sf, "fx_nodes").collect()}
+    pairs = [(r.src, r.dst) for r in fx(spark, sf, "fx_edges").select("src", "dst").distinct().collect()]
+    place = {n: i for i, n in enumerate(xy)}
+    u, v = ([place[p[k]] for p in pairs] for k in (0, 1))
+    ax, ay, bx, by = (np.array([xy[p[k]][c] for p in pairs]) for k, c in ((0, 0), (0, 1), (1, 0), (1, 1)))
+    u, v = np.array(u), np.array(v)
+    got = {r.incident_id: r for r in impact(fx(spark, sf, "fx_incidents"), fx(spark, sf, "fx_nodes"), fx(spark, sf, "fx_edges")).collect()}
+    incidents = fx(spark, sf, "fx_incidents").collect()
+    assert len(got) == len(incidents)
+    for i in incidents:
+        t = np.clip(((i.x - ax) * (bx - ax) + (i.y - ay) * (by - ay)) / ((bx - ax) ** 2 + (by - ay) ** 2), 0, 1)
+        left = np.hypot(ax + t * (bx - ax) - i.x, ay + t * (by - ay) - i.y) > i.radius_m
+        size = np.bincount(labels(len(xy), u[left], v[left]), minlength=len(xy))
+        r = got[i.incident_id]
+        assert (r.edges_removed, r.components_after) == ((~left).sum(), (size > 0).sum())
+        assert r.connectivity_after == round(size.max() / len(xy) * 100, 2)
+
+
+def test_labels_are_the_smallest_members():
+    r = np.random.default_rng(4)
+    for n in (1, 2, 30, 200):
+        for m in (0, n // 2, 2 * n):
+            e = r.integers(0, n, (m, 2))
+            want = components(range(n), [tuple(x) for x in e.tolist()])
+            assert labels(n, e[:, 0], e[:, 1]).tolist() == [want[i] for i in range(n)]
+    chain = r.permutation(1000)
+    assert (labels(1000, chain[:-1], chain[1:]) == 0).all()
+
+
 def test_bypass_accepts_node_zero_and_isolation(spark):
     # 0 - 1 - 2 - 3 - 4 with the zone on node 4's only street; 0 is the way out
     xy = {0: (0, 0), 1: (100, 0), 2: (200, 0), 3: (300, 0), 4: (400, 0), 8: (400, 60)}
