@@ -1,4 +1,7 @@
-"""Many shortest paths at once, as rounds of joins keyed by (query, node).
+"""Many shortest paths at once.
+
+Trips that stay within a block of the plane are searched in one task per block
+(see ``trips``). The others take rounds of joins keyed by (query, node).
 
 A cheap search from both ends first finds the cost of some path per query, and
 drops queries that have none. Then each round relaxes the edges of every
@@ -19,6 +22,7 @@ from netresil.functions import expressions as X
 from netresil.functions.geometry import norm2, point_segment_distance
 from netresil.functions.rounding import round_even
 from netresil.operators.graph import cheapest_edges
+from netresil.operators.trips import block_trips
 from netresil.session import Rounds, cut_lineage
 
 WEIGHTS = ("travel_time", "length_m")
@@ -191,6 +195,28 @@ def shortest_paths(od: DataFrame, nodes: DataFrame, edges: DataFrame, weight: st
     Queries without a path are absent from both.
     """
     adj = adjacency(nodes, edges, weight) if adj is None else adj
+    none = F.lit(None).cast("double")
+    for c in ("zx", "zy", "zr"):
+        if c not in od.columns:
+            od = od.withColumn(c, none)
+    place = lambda x, y, e: nodes.select(F.col("node_id").alias(e), F.col("x").alias(x), F.col("y").alias(y))
+    asked = cut_lineage(od.select("query_id", "src", "dst", "zx", "zy", "zr", F.monotonically_increasing_id().alias("number")))
+    trips = asked.drop("query_id").join(place("sx", "sy", "src"), "src").join(place("tx", "ty", "dst"), "dst")
+    answers, left = block_trips(trips, adj, _cost_per_metre(adj))
+    costs = paths = None
+    if answers is not None:
+        found = cut_lineage(answers.join(asked.select("number", "query_id"), "number"))
+        costs, paths = found.select("query_id", "cost"), found.select("query_id", F.posexplode("path").alias("seq", "node_id"))
+        paths = paths.withColumn("seq", F.col("seq").cast("bigint"))
+    if costs is None or not left.isEmpty():
+        far = asked.join(left.select("number"), "number", "left_semi").drop("number")
+        more = _by_rounds(cut_lineage(far), nodes, adj)
+        costs, paths = more if costs is None else (costs.unionByName(more[0]), paths.unionByName(more[1]))
+    return costs, paths
+
+
+def _by_rounds(od: DataFrame, nodes: DataFrame, adj: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Costs and paths of trips too long for a block, by rounds of joins."""
     state = search(od, nodes, adj)
     costs = state.join(od.select("query_id", F.col("dst").alias("node")), ["query_id", "node"]).select(
         "query_id", F.col("dist").alias("cost")

@@ -7,6 +7,7 @@ from brute import components, cores, dijkstra, kruskal, segment_distance
 from pyspark.sql import functions as F
 
 from netresil.operators import graph as GR
+from netresil.operators import trips
 from netresil.operators.centrality import betweenness
 from netresil.operators.components import component_sizes, connected_components, network_summary
 from netresil.operators.healing import max_spanning_bridges
@@ -95,7 +96,11 @@ def test_bridges_equal_kruskal(spark):
     assert len(pairs) == before - len(set(components(nodes, base + list(pairs)).values()))
 
 
-def test_paths_match_dijkstra_with_and_without_zones(spark):
+@pytest.mark.parametrize("limits", [(1 << 18, 256, 2048.0), (1 << 18, 2, 64.0), (40, 256, 64.0), (0, 256, 64.0)])
+def test_paths_match_dijkstra_with_and_without_zones(spark, monkeypatch, limits):
+    # one block; blocks grown around each trip; some, then all trips left to the rounds
+    for name, value in zip(("BLOCK_STREETS", "BLOCK_TRIPS", "LEAST_SIDE"), limits):
+        monkeypatch.setattr(trips, name, value)
     xy, edges = lattice(12, 0.75, 7)
     rnd = random.Random(11)
     zone = (550.0, 550.0, 180.0)
@@ -123,6 +128,16 @@ def test_paths_match_dijkstra_with_and_without_zones(spark):
     assert {q: sum(best[a, b] for a, b in zip(t, t[1:])) for q, t in trail.items()} == want
 
 
+def test_a_trip_that_leaves_its_first_block(spark):
+    # the short way round leads far outside; 4 is a pocket of its own
+    xy = {0: (0, 0), 1: (50, 0), 2: (0, 5000), 3: (50, 5000), 4: (25, 10), 5: (26, 12), 6: (30, 0)}
+    edges = [(0, 2, 5000), (2, 3, 50), (3, 1, 5000), (4, 5, 3)]
+    od = spark.createDataFrame([(1, 0, 1), (2, 0, 4), (3, 4, 0), (4, 0, 6), (5, 6, 0), (6, 4, 5)], "query_id long, src long, dst long")
+    costs, paths = shortest_paths(od, nodes_df(spark, xy), edges_df(spark, edges), "length_m")
+    assert {r.query_id: r.cost for r in costs.collect()} == {1: 10050.0, 6: 3.0}
+    assert [r.node_id for r in paths.where("query_id = 1").orderBy("seq").collect()] == [0, 2, 3, 1]
+
+
 def test_route_statuses(spark):
     xy = {0: (0, 0), 1: (100, 0), 2: (200, 0), 9: (900, 0)}
     e = edges_df(spark, [(0, 1, 150), (0, 1, 120), (1, 2, 100)])
