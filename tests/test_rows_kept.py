@@ -12,6 +12,8 @@ from netresil.operators.centrality import betweenness
 from netresil.plans.requests import answer_routes, simulate
 from netresil.session import Rounds, Scratch
 
+SF = "/root/testdata/sf0.001"
+
 
 def line(spark, n, missing=()):
     nodes = spark.createDataFrame([(i, 250000.0 + 100 * i, 2540000.0) for i in range(n)], "node_id bigint, x double, y double")
@@ -139,3 +141,12 @@ def test_round_tables_are_removed(spark):
     with Scratch() as scratch:
         assert scratch.cut(df).count() == 3 and len(set(os.listdir(local)) - before) == 1
     assert set(os.listdir(local)) == before
+
+
+def test_streamed_incidents_equal_the_batch_on_the_streets(spark):
+    from checks import load_all
+    from checks.fixtures import fx
+    from netresil.plans.impact import impact
+    streamed = load_all().QUERIES["str01_stream_impact"](spark, SF)
+    batch = impact(fx(spark, SF, "fx_incidents"), fx(spark, SF, "fx_nodes"), fx(spark, SF, "fx_edges"))
+    assert sorted(map(tuple, streamed.select(*batch.columns).collect())) == sorted(map(tuple, batch.collect()))
