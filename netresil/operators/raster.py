@@ -9,8 +9,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 
 from netresil.functions import expressions as X
 from netresil.session import cut_lineage
@@ -280,9 +282,11 @@ def distance_to_background(mask: DataFrame, keys: Sequence[str] = ()) -> DataFra
     """Euclidean distance of each set pixel to the nearest unset one.
 
     ``mask`` has every pixel with ``mask`` 0 or 1. The column pass finds the
-    nearest unset pixel above or below; it also bounds how far the row pass
-    has to look, so a pixel is compared with no more columns than its road is
-    wide. Null where a raster has no unset pixel.
+    nearest unset pixel above or below. Along a row nothing beyond the unset
+    pixels on either side can be nearer, so each run of set pixels is settled
+    alone: every column puts a parabola over the run, and their lower envelope
+    gives the distances. A pixel is one row and one array element throughout.
+    Null where a raster has no unset pixel.
     """
     keys = list(keys)
     up = Window.partitionBy(*keys, "c").orderBy("r").rowsBetween(Window.unboundedPreceding, 0)
@@ -291,17 +295,61 @@ def distance_to_background(mask: DataFrame, keys: Sequence[str] = ()) -> DataFra
     rt = Window.partitionBy(*keys, "r").orderBy("c").rowsBetween(0, Window.unboundedFollowing)
     r0, c0 = F.when(F.col("mask") == 0, F.col("r")), F.when(F.col("mask") == 0, F.col("c"))
     g = F.least(F.col("r") - F.last(r0, True).over(up), F.first(r0, True).over(dn) - F.col("r"))
-    h = F.least(F.col("c") - F.last(c0, True).over(lf), F.first(c0, True).over(rt) - F.col("c"))
-    wide = F.max("c").over(Window.partitionBy(*keys, "r"))
-    seen = mask.select(*keys, "r", "c", "mask").withColumn("g", g).withColumns({"h": h, "wide": wide})
-    reach = F.coalesce(F.least("g", "h"), F.col("wide"))
-    ask = seen.where(F.col("mask") == 1).select(
-        *keys, "r", F.col("c").alias("c0"), F.explode(F.sequence(F.col("c") - reach, F.col("c") + reach)).alias("c")
+    seen = mask.select(*keys, "r", "c", "mask").withColumn("g", g).withColumns(
+        {"lo": F.last(c0, True).over(lf), "hi": F.first(c0, True).over(rt)}
     )
-    ans = ask.join(seen.select(*keys, "r", "c", "g"), [*keys, "r", "c"]).groupBy(*keys, "r", "c0").agg(
-        F.sqrt(F.min(F.col("g") * F.col("g") + (F.col("c") - F.col("c0")) * (F.col("c") - F.col("c0"))).cast("double")).alias("dist")
+    runs = seen.where(F.col("mask") == 1).groupBy(*keys, "r", "lo", "hi").agg(
+        F.array_sort(F.collect_list(F.struct(F.col("c").cast("bigint").alias("c"), F.col("g").cast("bigint").alias("g")))).alias("run")
     )
-    return ans.withColumnRenamed("c0", "c")
+    sq = _run_distances(F.col("lo").cast("bigint"), F.col("hi").cast("bigint"), F.col("run.c"), F.col("run.g"))
+    at = runs.select(*keys, "r", F.explode(F.arrays_zip(F.col("run.c").alias("c"), sq.alias("sq"))).alias("p"))
+    return at.select(*keys, "r", F.col("p.c").alias("c"), F.sqrt(F.col("p.sq").cast("double")).alias("dist"))
+
+
+@F.pandas_udf(ArrayType(LongType()))
+def _run_distances(lo: pd.Series, hi: pd.Series, cols: pd.Series, heights: pd.Series) -> pd.Series:
+    """Squared distances along each run; ``lo`` and ``hi`` are the unset pixels beside it, if any."""
+    return pd.Series([
+        _envelope(None if pd.isna(a) else int(a), None if pd.isna(b) else int(b), c, g)
+        for a, b, c, g in zip(lo, hi, cols, heights)
+    ], dtype=object)
+
+
+def _envelope(lo: int | None, hi: int | None, cols, heights) -> list[int | None]:
+    """min over u of (c - u)^2 + height(u)^2 for each column c, in whole numbers.
+
+    ``apex`` holds the columns whose parabola is lowest somewhere, ``start``
+    the first column where it is; a new one removes those it undercuts from
+    their start on.
+    """
+    feet = [(c, int(g) ** 2) for c, g in zip(map(int, cols), heights) if g is not None and g == g]
+    if lo is not None:
+        feet.insert(0, (lo, 0))
+    if hi is not None:
+        feet.append((hi, 0))
+    if not feet:
+        return [None] * len(cols)
+    apex, start = [], []
+    for u, f in feet:
+        at = int(cols[0])
+        while apex:
+            v, e = apex[-1]
+            # the first whole column where (u, f) is strictly lower
+            at = (u * u + f - v * v - e) // (2 * (u - v)) + 1
+            if at > start[-1]:
+                break
+            apex.pop()
+            start.pop()
+            at = int(cols[0])
+        apex.append((u, f))
+        start.append(at)
+    out, i = [], 0
+    for c in map(int, cols):
+        while i + 1 < len(start) and start[i + 1] <= c:
+            i += 1
+        u, f = apex[i]
+        out.append((c - u) ** 2 + f)
+    return out
 
 
 # ---- index arithmetic -------------------------------------------------------

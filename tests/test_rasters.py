@@ -11,6 +11,7 @@ from netresil.operators import resample as RS
 from netresil.operators import skeleton as SK
 from netresil.operators import spatial as S
 from netresil.operators.catalog import fuzzy_match_tiles
+from netresil.operators.population import population_in_zone
 from netresil.operators.raster import Grid
 
 
@@ -62,6 +63,57 @@ def test_distance_transform(spark):
         assert abs(got[r, c] - np.sqrt(((zeros - [r, c]) ** 2).sum(1)).min()) < 1e-9
 
 
+def test_distance_transform_on_wide_runs_and_without_background(spark):
+    rnd = np.random.default_rng(5)
+    frames, want = [], {}
+    for k, (shape, rate) in enumerate([((40, 37), 0.97), ((9, 60), 0.995), ((25, 25), 0.5), ((4, 5), 1.0), ((3, 4), 0.0)]):
+        m = (rnd.random(shape) < rate).astype(int)
+        zeros = np.argwhere(m == 0)
+        frames += [(k, r, c, int(v)) for (r, c), v in np.ndenumerate(m)]
+        for r, c in np.argwhere(m == 1):
+            want[k, int(r), int(c)] = float(np.sqrt(((zeros - [r, c]) ** 2).sum(1)).min()) if len(zeros) else None
+    df = spark.createDataFrame(frames, "raster long, r long, c long, mask int").repartition(5)
+    rows = R.distance_to_background(df, ["raster"]).collect()
+    assert len(rows) == len(want) and {(p.raster, p.r, p.c): p.dist for p in rows} == want
+
+
+def test_envelope_equals_brute_force():
+    rnd = random.Random(3)
+    for _ in range(2000):
+        n = rnd.randint(1, 12)
+        c0 = rnd.randint(0, 5)
+        cols = list(range(c0, c0 + n))
+        heights = [rnd.choice([None, rnd.randint(1, 9)]) for _ in cols]
+        lo, hi = rnd.choice([None, c0 - 1]), rnd.choice([None, c0 + n])
+        feet = [(c, g) for c, g in zip(cols, heights) if g is not None] + [(e, 0) for e in (lo, hi) if e is not None]
+        want = [min(((c - u) ** 2 + g * g for u, g in feet), default=None) for c in cols]
+        assert R._envelope(lo, hi, cols, heights) == want
+
+
+def test_population_by_sums_equals_counting_cells(spark):
+    rnd = random.Random(8)
+    h, w = 23, 31
+    a = np.array([[rnd.choice([0.0, -3.0, float("nan"), round(rnd.random() * 9, 3)]) for _ in range(w)] for _ in range(h)])
+    some = [(r, c, float(v)) for (r, c), v in np.ndenumerate(a) if rnd.random() < 0.9]  # cells without a row
+    pix = spark.createDataFrame(some, "r long, c long, value double")
+    zones = [(i, rnd.uniform(-300, 3400), rnd.uniform(-300, 2600), rnd.choice([0.0, 40.0, 100.0, 333.3, 900.0, 9000.0])) for i in range(120)]
+    zones += [(900, 1050.0, 1050.0, 100.0), (901, 1050.0, 1050.0, 500.0), (902, None, 5.0, 50.0), (903, 5.0, 5.0, None)]
+    zdf = spark.createDataFrame(zones, "incident_id long, x double, y double, radius_m double")
+    for g in (Grid(h, w, 100.0, 0.0, 0.0, 0.0, 100.0, 0.0), Grid(h, w, 100.0, 0.0, 0.0, 0.0, -100.0, 2300.0)):
+        for shape in ("square", "disc"):
+            got = {r.incident_id: r.population_affected for r in population_in_zone(zdf, pix, g, shape=shape).collect()}
+            assert len(got) == len(zones)
+            for i, x, y, rad in zones:
+                s = 0
+                for r, c, v in some:
+                    if x is None or rad is None or not v > 0:
+                        continue
+                    dx, dy = g.c + g.a * (c + 0.5) - x, g.f + g.e * (r + 0.5) - y
+                    near = max(abs(dx), abs(dy)) <= rad + 1e-7 if shape == "square" else math.hypot(dx, dy) <= rad
+                    s += round(v * 1000) if near else 0
+                assert got[i] == s // 1000, (shape, i)
+
+
 def test_tiles_reflect_and_stitch_back(spark):
     a = np.random.default_rng(1).random((20, 7))
     tiles = R.extract_tiles(pixels(spark, a), a.shape, 12, 4)
