@@ -366,30 +366,68 @@ def _(spark, sf):
     return out.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.round("D", 6).alias("D"), F.round("C", 6).alias("C"))
 
 
+def newton_sql(steps: int) -> str:
+    """The fit as SQL: full Newton steps, each with its sums and a solution of the five equations by elimination."""
+    k = range(5)
+    raw = {"x0": "score", "x1": "l_linenumber / 7e0", "x2": "l_suppkey / 100e0", "x3": "l_partkey / 1000e0"}
+    flat = ", ".join(f"avg({e}) as m{i}, coalesce(nullif(stddev_pop({e}), 0), 1) as d{i}" for i, e in enumerate(raw.values()))
+    scaled = ", ".join(f"({e} - m{i}) / d{i} as {x}" for i, (x, e) in enumerate(raw.items()))
+    out = [
+        f", fs as materialized (select {flat} from fx_scores)",
+        f"lx as materialized (select l_orderkey, l_linenumber, l_partkey, l_suppkey, {scaled}, 1e0 as x4, cast(label as double) as y from fx_scores, fs)",
+        "k0 as (select " + ", ".join(f"0e0 as b{i}" for i in k) + ")",
+    ]
+    for n in range(steps):
+        z = " + ".join(f"b{i} * x{i}" for i in k)
+        sums = [f"sum((p - y) * x{i}) + {'any_value(b%d)' % i if i < 4 else '0'} as g{i}" for i in k]
+        sums += [f"sum(p * (1 - p) * x{i} * x{j}) + {1 if i == j and i < 4 else 0} as h{i}{j}" for i in k for j in k if j <= i]
+        sums += [f"any_value(b{i}) as b{i}" for i in k]
+        out.append(f"s{n} as materialized (select {', '.join(sums)} from (select lx.*, q.*, 1 / (1 + exp(-({z}))) as p from lx, k{n} q) t)")
+        low = []
+        for j in k:
+            low.append(f"h{j}{j}" + "".join(f" - l{j}{m} * l{j}{m} * e{m}" for m in range(j)) + f" as e{j}")
+            low += [f"(h{i}{j}" + "".join(f" - l{i}{m} * l{j}{m} * e{m}" for m in range(j)) + f") / e{j} as l{i}{j}" for i in range(j + 1, 5)]
+        low += [f"-g{i}" + "".join(f" - l{i}{m} * u{m}" for m in range(i)) + f" as u{i}" for i in k]
+        low += [f"u{i} / e{i}" + "".join(f" - l{m}{i} * v{m}" for m in range(i + 1, 5)) + f" as v{i}" for i in reversed(k)]
+        low += [f"b{i} + v{i} as w{i}" for i in k]
+        out.append(f"k{n + 1} as materialized (select {', '.join(f'w{i} as b{i}' for i in k)} from (select *, {', '.join(low)} from s{n}) t)")
+    return ",\n".join(out)
+
+
+NEWTON = newton_sql(8)
+FORMULA = NEWTON + """
+select round(b0, 6) as w_D, round(b1, 6) as w_S, round(b2, 6) as w_W, round(b3, 6) as w_C, round(b4, 6) as b, 5e-1 as threshold, 'gap-logistic-1' as version from k8"""
+
+
 def fitted(spark, sf):
     f = cut_lineage(features(spark, sf))
     scaled = cut_lineage(L.standard_scale(f, L.fit_scale(f, L.FEATURES), L.FEATURES))
     return scaled, L.logistic_fit(scaled)
 
 
-@query("mll05_logistic_fit")
+def six(df):
+    return df.withColumns({k: F.round(k, 6) for k in ["w_D", "w_S", "w_W", "w_C", "b"]})
+
+
+@query("mll05_logistic_fit", FORMULA)
 def _(spark, sf):
     _, model = fitted(spark, sf)
-    return L.formula(spark, model, 0.5)
+    return six(L.formula(spark, model, 0.5))
 
 
-@query("mll06_logistic_score")
+@query("mll06_logistic_score", NEWTON + """
+select l_orderkey, l_linenumber, l_partkey, l_suppkey, round(1 / (1 + exp(-(b0 * x0 + b1 * x1 + b2 * x2 + b3 * x3 + b4))), 6) as score from lx, k8""")
 def _(spark, sf):
     scaled, model = fitted(spark, sf)
-    return L.logistic_score(model, scaled).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "score")
+    return L.logistic_score(model, scaled).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.round("score", 6).alias("score"))
 
 
-@query("mll08_save_model")
+@query("mll08_save_model", FORMULA)
 def _(spark, sf):
     _, model = fitted(spark, sf)
     path = scratch(spark, "model")
     L.save_model(spark, model, 0.5, path)
-    return spark.read.parquet(f"{path}/formula")
+    return six(L.formula(spark, *L.load_model(spark, path)))
 
 
 # ---- sources and sinks over the given tables -----------------------------------------

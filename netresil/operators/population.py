@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from netresil.functions import expressions as X
 from netresil.functions.geometry import norm2
-from netresil.operators.raster import Grid, percentile_or_one
+from netresil.operators.raster import Grid, in_bounds, percentile_or_one
 from netresil.operators.resample import sample_line
 
 
@@ -16,21 +16,21 @@ EXACT = "decimal(28,12)"
 
 
 def row_sums(pixels: DataFrame, grid: Grid) -> DataFrame:
-    """``r, c, value``: for every cell the positive values of its row up to it."""
-    good = pixels.where(X.is_valid_positive(F.col("value"))).select("r", "c", F.col("value").cast(EXACT).alias("v"))
-    cells = grid.cells(pixels.sparkSession).join(good, ["r", "c"], "left")
-    along = Window.partitionBy("r").orderBy("c").rowsBetween(Window.unboundedPreceding, 0)
-    return cells.select("r", "c", F.coalesce(F.sum("v").over(along), F.lit(0).cast(EXACT)).alias("value"))
+    """``r, c, value``: for every cell the positive values of its row up to it.
 
+    Cells without a pixel are filled and repeated pixels added in the same
+    partitions that the running sums need, so rows are shuffled once.
+    """
+    good = in_bounds(pixels.where(X.is_valid_positive(F.col("value"))), (grid.height, grid.width))
+    every = grid.cells(pixels.sparkSession).select("r", "c", F.lit(0).cast(EXACT).alias("v"))
+    both = every.union(good.select(F.col("r").cast("bigint"), F.col("c").cast("bigint"), F.col("value").cast(EXACT)))
+    cells = both.repartition("r").groupBy("r", "c").agg(F.sum("v").cast(EXACT).alias("v"))
+    along = Window.partitionBy("r").orderBy("c").rowsBetween(Window.unboundedPreceding, 0)
+    return cells.select("r", "c", F.sum("v").over(along).alias("value"))
 
-def summed_area(rows: DataFrame, columns: DataFrame | None = None) -> DataFrame:
-    """``r, c, value``: the sum over all cells (r', c') with r' <= r and c' <= c.
 
-    ``rows`` as from ``row_sums``. ``columns(c)`` names the columns that will
-    be looked up; others are left out before they are sorted.
-    """
-    if columns is not None:
-        rows = rows.join(columns, "c", "left_semi")
+def summed_area(rows: DataFrame) -> DataFrame:
+    """``r, c, value``: the sum over all cells (r', c') with r' <= r and c' <= c, from ``row_sums``."""
     down = Window.partitionBy("c").orderBy("r").rowsBetween(Window.unboundedPreceding, 0)
     return rows.select("r", "c", F.sum("value").over(down).alias("value"))
 
@@ -71,7 +71,7 @@ def population_in_zone(zones: DataFrame, pixels: DataFrame, grid: Grid, zone_id:
         ask = boxes.select(zone_id, F.inline(F.array(
             corner(F.col("r1"), F.col("c1"), 1), corner(r0, F.col("c1"), -1), corner(F.col("r1"), c0, -1), corner(r0, c0, 1),
         )))
-        sums = _weighed(ask, summed_area(rows, ask.select("c").distinct()), zone_id)
+        sums = _weighed(ask, summed_area(rows), zone_id)
     return zones.select(zone_id).join(sums, zone_id, "left").select(
         zone_id, F.coalesce(F.floor("s").cast("bigint"), F.lit(0).cast("bigint")).alias("population_affected")
     )

@@ -95,7 +95,9 @@ def test_population_by_sums_equals_counting_cells(spark):
     h, w = 23, 31
     a = np.array([[rnd.choice([0.0, -3.0, float("nan"), round(rnd.random() * 9, 3)]) for _ in range(w)] for _ in range(h)])
     some = [(r, c, float(v)) for (r, c), v in np.ndenumerate(a) if rnd.random() < 0.9]  # cells without a row
-    pix = spark.createDataFrame(some, "r long, c long, value double")
+    some += [(3, 4, 2.5), (3, 4, 2.5)]  # repeated pixels
+    off = [(-1, 3, 50.0), (2, -1, 50.0), (h, 2, 50.0), (2, w, 50.0)]  # outside the raster
+    pix = spark.createDataFrame(some + off, "r long, c long, value double")
     zones = [(i, rnd.uniform(-300, 3400), rnd.uniform(-300, 2600), rnd.choice([0.0, 40.0, 100.0, 333.3, 900.0, 9000.0])) for i in range(120)]
     zones += [(900, 1050.0, 1050.0, 100.0), (901, 1050.0, 1050.0, 500.0), (902, None, 5.0, 50.0), (903, 5.0, 5.0, None)]
     zdf = spark.createDataFrame(zones, "incident_id long, x double, y double, radius_m double")
