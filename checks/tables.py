@@ -383,14 +383,16 @@ def newton_sql(steps: int) -> str:
         sums += [f"sum(p * (1 - p) * x{i} * x{j}) + {1 if i == j and i < 4 else 0} as h{i}{j}" for i in k for j in k if j <= i]
         sums += [f"any_value(b{i}) as b{i}" for i in k]
         out.append(f"s{n} as materialized (select {', '.join(sums)} from (select lx.*, q.*, 1 / (1 + exp(-({z}))) as p from lx, k{n} q) t)")
-        low = []
+        sub = lambda i, top: "".join(f" - l{i}{m} * l{top}{m} * e{m}" for m in range(top))
+        levels = []
         for j in k:
-            low.append(f"h{j}{j}" + "".join(f" - l{j}{m} * l{j}{m} * e{m}" for m in range(j)) + f" as e{j}")
-            low += [f"(h{i}{j}" + "".join(f" - l{i}{m} * l{j}{m} * e{m}" for m in range(j)) + f") / e{j} as l{i}{j}" for i in range(j + 1, 5)]
-        low += [f"-g{i}" + "".join(f" - l{i}{m} * u{m}" for m in range(i)) + f" as u{i}" for i in k]
-        low += [f"u{i} / e{i}" + "".join(f" - l{m}{i} * v{m}" for m in range(i + 1, 5)) + f" as v{i}" for i in reversed(k)]
-        low += [f"b{i} + v{i} as w{i}" for i in k]
-        out.append(f"k{n + 1} as materialized (select {', '.join(f'w{i} as b{i}' for i in k)} from (select *, {', '.join(low)} from s{n}) t)")
+            levels += [[f"h{j}{j}{sub(j, j)} as e{j}"], [f"(h{i}{j}{sub(i, j)}) / e{j} as l{i}{j}" for i in range(j + 1, 5)]]
+        levels += [[f"-g{i}" + "".join(f" - l{i}{m} * u{m}" for m in range(i)) + f" as u{i}"] for i in k]
+        levels += [[f"u{i} / e{i}" + "".join(f" - l{m}{i} * v{m}" for m in range(i + 1, 5)) + f" as v{i}"] for i in reversed(k)]
+        solved = f"s{n}"
+        for level in filter(None, levels):
+            solved = f"(select *, {', '.join(level)} from {solved}) t"
+        out.append(f"k{n + 1} as materialized (select {', '.join(f'b{i} + v{i} as b{i}' for i in k)} from {solved})")
     return ",\n".join(out)
 
 
