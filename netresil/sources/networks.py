@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 
 from netresil.functions.expressions import haversine_m
 from netresil.functions.projection import wgs84_to_utm
+from netresil.sources.osm import RANGE_BYTES, OsmSource
 
-NODE_XML = "_id BIGINT, _lat DOUBLE, _lon DOUBLE"
-WAY_XML = "_id BIGINT, nd ARRAY<STRUCT<_ref: BIGINT>>, tag ARRAY<STRUCT<_k: STRING, _v: STRING>>"
 GEOJSON = (
     "type STRING, crs STRUCT<properties: STRUCT<name: STRING>>, features ARRAY<STRUCT<"
     "type: STRING, geometry: STRUCT<type: STRING, coordinates: ARRAY<ARRAY<DOUBLE>>>, properties: MAP<STRING, STRING>>>"
@@ -20,26 +19,26 @@ HISTORY = (
 )
 
 
-def read_osm(spark: SparkSession, path: str, zone: int = 43) -> tuple[DataFrame, DataFrame]:
+def read_osm(spark: SparkSession, path: str, zone: int = 43, range_bytes: int = RANGE_BYTES) -> tuple[DataFrame, DataFrame]:
     """Nodes and undirected way segments of an OSM extract.
 
     Coordinates a node lacks default to 0. A segment's ``highway`` is the list
     of classes tagged on its way; ways without one are no roads. An XML file is
-    read by one task, so a large area should come as many extracts.
+    read by one task per ``range_bytes``, see ``netresil.sources.osm``.
     """
-    raw = spark.read.format("xml").option("rowTag", "node").schema(NODE_XML).load(path)
+    spark.dataSource.register(OsmSource)
+    osm = spark.read.format("osm_xml").option("path", path).option("rangeBytes", range_bytes)
+    raw = osm.option("element", "node").load()
     zero = F.lit(0.0)
-    lon, lat = F.coalesce("_lon", zero), F.coalesce("_lat", zero)
+    lon, lat = F.coalesce("lon", zero), F.coalesce("lat", zero)
     x, y = wgs84_to_utm(lon, lat, zone)
     nodes = raw.select(
-        F.col("_id").alias("node_id"), x.alias("x"), y.alias("y"), lon.alias("lon"), lat.alias("lat"),
+        F.col("id").alias("node_id"), x.alias("x"), y.alias("y"), lon.alias("lon"), lat.alias("lat"),
         F.lit(0).alias("row"), F.lit(0).alias("col"),
     )
-    ways = spark.read.format("xml").option("rowTag", "way").schema(WAY_XML).load(path)
-    highway = F.filter("tag", lambda t: t["_k"] == "highway")
-    roads = ways.where(F.size(highway) > 0).select(
-        F.col("_id").alias("way_id"), F.transform(highway, lambda t: t["_v"]).alias("highway"), F.transform("nd", lambda n: n["_ref"]).alias("refs")
-    )
+    ways = osm.option("element", "way").load()
+    highway = F.transform(F.filter("tags", lambda t: t["k"] == "highway"), lambda t: t["v"])
+    roads = ways.where(F.size(highway) > 0).select(F.col("id").alias("way_id"), highway.alias("highway"), "refs")
     n = F.size("refs")
     pairs = F.when(n > 1, F.arrays_zip(F.slice("refs", F.lit(1), n - 1).alias("u"), F.slice("refs", F.lit(2), n - 1).alias("v")))
     segs = roads.select("way_id", "highway", F.posexplode(pairs).alias("seq", "p")).select("way_id", "seq", "highway", "p.u", "p.v")
