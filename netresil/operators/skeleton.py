@@ -2,49 +2,74 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from netresil.operators.components import star_labels
 from netresil.operators.raster import AROUND, _offsets, neighbour_count, neighbours8
-from netresil.session import cut_lineage
+from netresil.session import Rounds, cut_lineage
 
 # clockwise from north, the order in which the thinning rules read neighbours
 RING = [(-1, 0), (-1, 1), (0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1)]
-SELF = 256
+#: Side of a tile and width of the border it sees of its neighbours when thinning.
+TILE, HALO = 256, 32
 
 
-def _ring_bits(pixels: DataFrame) -> DataFrame:
-    """Set pixels with one bit per set neighbour; one aggregation, no join."""
-    # a pixel at offset k of its neighbour is told so by the neighbour itself
-    spots = F.array(
-        F.struct(F.lit(0).alias("dr"), F.lit(0).alias("dc"), F.lit(SELF).alias("bit")),
-        *[F.struct(F.lit(-dr).alias("dr"), F.lit(-dc).alias("dc"), F.lit(1 << k).alias("bit")) for k, (dr, dc) in enumerate(RING)],
-    )
-    told = pixels.select("r", "c", F.explode(spots).alias("o")).select(
-        (F.col("r") + F.col("o.dr")).alias("r"), (F.col("c") + F.col("o.dc")).alias("c"), F.col("o.bit").alias("bit")
-    )
-    return told.groupBy("r", "c").agg(F.bit_or("bit").alias("bits")).where(F.col("bits") >= SELF)
-
-
-def thin(pixels: DataFrame) -> DataFrame:
-    """Skeleton of width one by the parallel rules of Zhang and Suen (1984)."""
-    bit = lambda k: F.shiftright(F.col("bits"), k).bitwiseAND(F.lit(1))
-    n, e, s, w = bit(0), bit(2), bit(4), bit(6)
-    around = sum((bit(k) for k in range(1, 8)), bit(0))
-    rises = sum(((1 - bit(k)) * bit((k + 1) % 8) for k in range(1, 8)), (1 - bit(0)) * bit(1))
-    simple = around.between(2, 6) & (rises == 1)
-    passes = [(n * e * s == 0) & (e * s * w == 0), (n * e * w == 0) & (n * s * w == 0)]
-    cur = cut_lineage(pixels.select("r", "c").distinct())
-    left = cur.count()
+def thin(pixels: DataFrame, tile: int = TILE, halo: int = HALO) -> DataFrame:
+    """Skeleton of width one by the parallel rules of Zhang and Suen (1984).
+
+    The raster is thinned tile by tile, each with ``halo`` pixels of what lies
+    around it. A pass reaches one pixel further in, so a tile takes
+    ``halo // 2 - 1`` iterations of both passes before its own pixels could
+    depend on anything unseen; then border pixels are exchanged. The result is
+    that of thinning the raster as a whole. Roads of up to ``halo - 4`` pixels
+    end in one round. Rows without place are left out, repeated ones are one.
+    """
+    if not 4 <= halo <= tile:
+        raise ValueError("halo must be from 4 pixels to a tile's side")
+    seen_by = lambda i: F.sequence(F.floor((i - halo) / F.lit(tile)), F.floor((i + halo) / F.lit(tile)))
+    rounds = Rounds()
+    cur = pixels.select(F.col("r").cast("bigint").alias("r"), F.col("c").cast("bigint").alias("c")).dropna()
     while True:
-        for rule in passes:
-            cur = _ring_bits(cur).where(~(simple & rule)).select("r", "c")
-        cur = cut_lineage(cur)
-        now = cur.count()
-        if now == left:
+        dealt = cur.select("r", "c", F.explode(seen_by(F.col("r"))).alias("tr")).select("r", "c", "tr", F.explode(seen_by(F.col("c"))).alias("tc"))
+        done = dealt.groupBy("tr", "tc").applyInPandas(lambda key, df: _thin_tile(key, df, tile, halo), "r bigint, c bigint, moving boolean")
+        done = rounds.cut(done)[0]
+        cur = done.select("r", "c")
+        if done.where("moving").isEmpty():
             return cur
-        left = now
+
+
+def _thin_tile(key: tuple, df: pd.DataFrame, tile: int, halo: int) -> pd.DataFrame:
+    """What is left of a tile's own pixels, and whether the last iteration still changed some that matter to them."""
+    r0, c0 = (int(k) * tile - halo for k in key)
+    side = tile + 2 * halo
+    on = np.zeros((side, side), bool)
+    on[df["r"].to_numpy() - r0, df["c"].to_numpy() - c0] = True
+    near = slice(halo - 2, halo + tile + 2)
+    moving = False
+    for _ in range(halo // 2 - 1):
+        before = on
+        for first in (True, False):
+            on = on & ~_removable(on, first)
+        moving = bool((before[near, near] != on[near, near]).any())
+        if (before == on).all():
+            break
+    r, c = np.nonzero(on[halo:halo + tile, halo:halo + tile])
+    return pd.DataFrame({"r": r + r0 + halo, "c": c + c0 + halo, "moving": moving})
+
+
+def _removable(on: np.ndarray, first: bool) -> np.ndarray:
+    """Pixels that one pass takes away, all judged on the same picture."""
+    h, w = on.shape
+    wide = np.pad(on, 1)
+    ring = [wide[1 + dr:1 + dr + h, 1 + dc:1 + dc + w] for dr, dc in RING]
+    around = np.sum(ring, axis=0, dtype=np.int8)
+    rises = np.sum([~a & b for a, b in zip(ring, ring[1:] + ring[:1])], axis=0, dtype=np.int8)
+    n, e, s, w_ = ring[0], ring[2], ring[4], ring[6]
+    free = ~(n & e & s) & ~(e & s & w_) if first else ~(n & e & w_) & ~(n & s & w_)
+    return (around >= 2) & (around <= 6) & (rises == 1) & free
 
 
 def trace_edges(skel: DataFrame, width: int, pixel_m: float, lone_pixels: bool = False,

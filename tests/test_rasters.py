@@ -159,6 +159,39 @@ def test_rasterize_long_diagonal(spark):
     assert got == want
 
 
+def thinned_whole(pts):
+    """Zhang and Suen pixel by pixel over the whole picture."""
+    on, ring = set(pts), [(-1, 0), (-1, 1), (0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1)]
+    while True:
+        start = len(on)
+        for three in (((0, 2, 4), (2, 4, 6)), ((0, 2, 6), (0, 4, 6))):
+            gone = set()
+            for r, c in on:
+                b = [(r + dr, c + dc) in on for dr, dc in ring]
+                rises = sum(not b[k] and b[(k + 1) % 8] for k in range(8))
+                if 2 <= sum(b) <= 6 and rises == 1 and not any(all(b[k] for k in t) for t in three):
+                    gone.add((r, c))
+            on -= gone
+        if len(on) == start:
+            return on
+
+
+def test_thinning_by_tiles_equals_thinning_the_whole(spark):
+    rnd = random.Random(6)
+    pts = {(r, c) for r in range(-20, 25) for c in range(-25, 30) if rnd.random() < 0.97}  # a block with holes
+    for _ in range(12):  # wide roads across the tiles
+        r, c, dr, dc = rnd.randint(30, 60), rnd.randint(-20, 40), rnd.choice([-1, 0, 1]), rnd.choice([-1, 1])
+        pts |= {(r + i * dr + a, c + i * dc + b) for i in range(30) for a in range(rnd.randint(1, 6)) for b in range(5)}
+    pts |= {(16, 31), (16, 32), (17, 31), (17, 32), (-40, -40)}  # a square that vanishes and a lone pixel
+    rows = [*pts, (16, 31), (None, 3)]
+    df = spark.createDataFrame(rows, "r long, c long").repartition(3)
+    want = thinned_whole(pts)
+    for tile, halo in ((16, 4), (16, 9), (256, 32)):
+        got = [(p.r, p.c) for p in SK.thin(df, tile, halo).collect()]
+        assert len(got) == len(want) and set(got) == want
+    assert SK.thin(df.limit(0)).isEmpty()
+
+
 def test_thin_and_trace_a_cross(spark):
     road = {(r, c) for r in range(21) for c in range(21) if 9 <= r <= 11 or 9 <= c <= 11}
     skel = SK.thin(setpx(spark, road))
