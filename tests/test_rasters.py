@@ -159,6 +159,25 @@ def test_rasterize_long_diagonal(spark):
     assert got == want
 
 
+def test_road_aware_crop_takes_the_first_try_with_enough_road(spark):
+    rnd, size, tries = random.Random(9), 6, 10
+    shape, need = (15, 13), 9
+    rows = [(t, r, c, int(rnd.random() < rate)) for t, rate in enumerate((0.0, 0.05, 0.2, 0.3, 0.6, 1.0)) for r in range(15) for c in range(13)]
+    df = spark.createDataFrame(rows, "tile long, r long, c long, mask int")
+    road = {(t, r, c) for t, r, c, m in rows if m}
+    draw = lambda k, n: F.pmod(F.xxhash64(F.lit(42), F.lit(k), "tile", "t"), F.lit(n))
+    tried = df.select("tile").distinct().withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(tries - 1)))).select(
+        "tile", "t", draw(1, shape[0] - size + 1).alias("r0"), draw(2, shape[1] - size + 1).alias("c0")).collect()
+    inside = lambda t, r0, c0: sum((t, r, c) in road for r in range(r0, r0 + size) for c in range(c0, c0 + size))
+    got = {p.tile: (p.r0, p.c0, p.road) for p in R.road_aware_crop(df, shape, size, need, tries, seed=42).collect()}
+    assert len(got) == 6
+    for tile, crop in got.items():
+        mine = [(p.r0, p.c0, inside(tile, p.r0, p.c0)) for p in sorted(tried, key=lambda p: p.t) if p.tile == tile]
+        enough = [m for m in mine if m[2] >= need]
+        want = enough[0] if enough else max(mine, key=lambda m: m[2])
+        assert crop == (want if want[2] else ((15 - size) // 2, (13 - size) // 2, 0))
+
+
 def thinned_whole(pts):
     """Zhang and Suen pixel by pixel over the whole picture."""
     on, ring = set(pts), [(-1, 0), (-1, 1), (0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1)]
