@@ -1,9 +1,10 @@
 """Many shortest paths at once.
 
 Trips that stay within a block of the plane are searched in one task per block
-(see ``trips``). The others take rounds of joins keyed by (query, node).
+(see ``trips``), the others over cells of growing width (see ``overlay``). Only
+those with a zone beyond a block take rounds of joins keyed by (query, node).
 
-A cheap search from both ends first finds the cost of some path per query, and
+In these a cheap search from both ends first finds the cost of some path per query, and
 drops queries that have none. Then each round relaxes the edges of every
 query's frontier. A query never follows an edge that cannot end up below the
 best cost known for its own target: the straight line left to go, times the
@@ -22,6 +23,7 @@ from netresil.functions import expressions as X
 from netresil.functions.geometry import norm2, point_segment_distance
 from netresil.functions.rounding import round_even
 from netresil.operators.graph import cheapest_edges
+from netresil.operators.overlay import overlay_trips
 from netresil.operators.trips import block_trips
 from netresil.session import Rounds, cut_lineage
 
@@ -203,20 +205,24 @@ def shortest_paths(od: DataFrame, nodes: DataFrame, edges: DataFrame, weight: st
     asked = cut_lineage(od.select("query_id", "src", "dst", "zx", "zy", "zr", F.monotonically_increasing_id().alias("number")))
     trips = asked.drop("query_id").join(place("sx", "sy", "src"), "src").join(place("tx", "ty", "dst"), "dst")
     answers, left = block_trips(trips, adj, _cost_per_metre(adj))
+    free = left.where(F.col("zr").isNull())
+    if not free.isEmpty():
+        long = overlay_trips(free, adj)
+        answers = long if answers is None else answers.unionByName(long)
+    far = cut_lineage(asked.join(left.where(F.col("zr").isNotNull()).select("number"), "number", "left_semi").drop("number"))
     costs = paths = None
     if answers is not None:
         found = cut_lineage(answers.join(asked.select("number", "query_id"), "number"))
         costs, paths = found.select("query_id", "cost"), found.select("query_id", F.posexplode("path").alias("seq", "node_id"))
         paths = paths.withColumn("seq", F.col("seq").cast("bigint"))
-    if costs is None or not left.isEmpty():
-        far = asked.join(left.select("number"), "number", "left_semi").drop("number")
-        more = _by_rounds(cut_lineage(far), nodes, adj)
+    if costs is None or not far.isEmpty():
+        more = _by_rounds(far, nodes, adj)
         costs, paths = more if costs is None else (costs.unionByName(more[0]), paths.unionByName(more[1]))
     return costs, paths
 
 
 def _by_rounds(od: DataFrame, nodes: DataFrame, adj: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Costs and paths of trips too long for a block, by rounds of joins."""
+    """Costs and paths of trips with a zone that are too long for a block, by rounds of joins."""
     state = search(od, nodes, adj)
     costs = state.join(od.select("query_id", F.col("dst").alias("node")), ["query_id", "node"]).select(
         "query_id", F.col("dist").alias("cost")
