@@ -256,7 +256,8 @@ def _components(src: DataFrame, length: int, percent: int, scratch: Scratch) ->
     real = described.where(F.col("doc").isNotNull() & (F.col("n") > 0))
     folded = real.groupBy("n", "d1", "d2").agg(F.min("doc").alias("rep"))
     of = scratch.cut(real.select("doc", "n", "d1", "d2").distinct().join(folded, ["n", "d1", "d2"]).select("doc", "n", "rep"))
-    reps = scratch.cut(real.join(of.where(F.col("doc") == F.col("rep")).select("doc", "n"), ["doc", "n"]).select("doc", "n", "bits", "wide").dropDuplicates(["doc", "n"]))
+    # an id with several texts of one size has a bitmap for each
+    reps = scratch.cut(real.join(of.where(F.col("doc") == F.col("rep")).select("doc", "n"), ["doc", "n"]).dropDuplicates(["doc", "n", "d1", "d2"]).select("doc", "n", "bits", "wide"))
 
     # Lists of two whose sizes can't link are dropped before anything else travels.
     keyed = real.select("doc", "n", F.explode("keys").alias("key"))
@@ -285,8 +286,8 @@ def _components(src: DataFrame, length: int, percent: int, scratch: Scratch) ->
     right = rest.select("key", *[F.col(c).alias(f"{c}_b") for c in ("doc", "n", "component", "bits")])
     apart = (F.col("doc_a") < F.col("doc_b")) & (F.col("component_a") != F.col("component_b"))
     fits = _can_link(F.col("n_a"), F.col("n_b"), F.col("bits_a"), F.col("bits_b"), percent)
-    pairs = left.join(right, (left["key"] == right["key"]) & apart & fits).groupBy(F.col("doc_a").alias("a"), F.col("doc_b").alias("b")).agg(
-        F.count(F.lit(1)).alias("shared"), F.first("n_a").alias("n_x"), F.first("n_b").alias("n_y")).where(F.col("shared") >= enough).select("a", "b")
+    pairs = left.join(right, (left["key"] == right["key"]) & apart & fits).groupBy(
+        F.col("doc_a").alias("a"), F.col("doc_b").alias("b"), F.col("n_a").alias("n_x"), F.col("n_b").alias("n_y")).agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= enough).select("a", "b")
     more = _linked(pairs, src, reps, order, percent, scratch)
     ends = of.groupBy("doc").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high")
     same_id = of.join(ends, "doc").select(F.col("low").alias("a"), F.col("rep").alias("b")).where("a < b")

@@ -271,6 +271,16 @@ def test_jaccard_components(spark, seed, longest, length, percent):
     assert got == brute.components(docs, length, percent)
 
 
+def test_jaccard_several_texts_of_one_size_under_one_id(spark):
+    # ids 1 and 9 hold several texts of as many shingles; every one of them links, whichever row comes first
+    run = lambda w, n: " ".join(f"{w}{i}" for i in range(n))
+    rows = [(1, run(w, 30)) for w in "abcd"] + [(k + 2, run(w, 31)) for k, w in enumerate("abcd")]
+    rows += [(9, run("e", 30)), (9, run("f", 40)), (10, run("e", 31)), (11, run("f", 41)), (12, run("g", 30))]
+    for order in (rows, rows[::-1]):
+        got = {(r["doc_id"], r["component_id"]) for r in jaccard.jaccard_components(spark.createDataFrame(order, "doc_id long, text string")).collect()}
+        assert got == {(1, 1), (2, 1), (3, 1), (4, 1), (5, 1), (9, 9), (10, 9), (11, 9), (12, 12)}
+
+
 def test_jaccard_odd_rows(odd, empty):
     got = [tuple(r) for r in jaccard.jaccard_components(odd).collect()]
     assert len(got) == len(ODD)
